@@ -103,7 +103,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, w
                 out.write(np.array(index, INDEX).tobytes())
             yield pa.RecordBatch.from_pydict({"file": [name], "number": [number], "records": [len(index)], "tokens": [total]})
 
-    ranged.mapInArrow(run, "file string, number long, records long, tokens long").coalesce(1).write.parquet(f"{path}/manifest")
+    ranged.mapInArrow(run, "file string, number long, records long, tokens long").write.parquet(f"{path}/manifest")
     return spark.read.schema("file string, number long, records long, tokens long").parquet(f"{path}/manifest")
 
 
