@@ -65,6 +65,16 @@ def best_cuts(positions: list[int], penalties: list[float], window: int) -> list
     return out[::-1]
 
 
+def sentence_ends(bpe: tokens.ByteBpe, words: list[str], pieces: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """How many of a text's ids stand up to the end of each of its sentences: pieces that end in a full stop, ! or ?."""
+    last = np.frombuffer("".join([w[-1:] or " " for w in words]).encode("utf-32-le"), "<u4")
+    at = np.flatnonzero((last == 46) | (last == 33) | (last == 63))
+    after = np.flatnonzero(bpe.starts[ids])  # each piece but the first begins with its space
+    if len(after) == len(words) - 1:
+        return np.append(after, len(ids))[at]
+    return np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))[at] // 4
+
+
 class _Packer:
     def __init__(self, window: int, sentence: float, hard: float, first: int):
         self.window, self.sentence, self.hard, self.sequence = window, sentence, hard, first
@@ -147,9 +157,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 for doc, (words, pieces) in zip(part.column(0).to_pylist(), bpe.many([t or "" for t in part.column(1).to_pylist()])):
-                    sizes = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) // 4
-                    ends = sizes[[i for i, w in enumerate(words) if w[-1:] in ".!?\n" or "\n" in w]]
-                    out += packer.add(doc, np.concatenate((np.frombuffer(b"".join(pieces), "<u4"), end)), ends)
+                    ids = np.frombuffer(b"".join(pieces), "<u4")
+                    out += packer.add(doc, np.concatenate((ids, end)), sentence_ends(bpe, words, pieces, ids))
             yield table(out)
         yield table(list(packer.flush(True)))
 

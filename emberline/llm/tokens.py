@@ -8,6 +8,8 @@ by the library once and then remembered; the memo is bounded and two-generationa
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,15 @@ MEMO_ENTRIES = 350_000
 LEARN = 128
 
 
+#: A word of Latin letters, with a full stop or comma or none, and perhaps the first word of the next line: each of
+#: these parts, and the line break, is encoded alone whatever stands beside it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?))?\\Z")
+#: The signs that byte-level vocabularies write for bytes: printable Latin-1 for itself, the others from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = dict(zip([b for b in range(256) if b not in SHOWN], range(256, 512)))
+SPACE = chr(BYTE_SIGNS[32])
+
+
 def load(path: str):
     from tokenizers import Tokenizer
 
@@ -86,9 +97,10 @@ class ByteBpe:
         vocab = self.t.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         for s, i in vocab.items():
-            if s.startswith("Ġ"):  # the byte-level sign of a space
+            if s.startswith(SPACE):
                 self.starts[i] = True
         self.memo = Memo()  # by the piece without its leading space
+        self.ends = {c: x.tobytes() for c, x in zip(".,\n", self._ids([".", ",", "\n"]))}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,6 +120,36 @@ class ByteBpe:
                 for p, x in zip(some, self._ids([" " + p for p in some])):
                     self.memo[p] = x.tobytes()
 
+    def _word(self, lead: str, word: str) -> bytes:
+        """The ids of one word alone, from the library's model."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("I", [t.id for t in self.t.model.tokenize(lead + word)]).tobytes()
+
+    def _meet(self, new: set[str]) -> None:
+        """Put all of ``new`` that stand between safe cuts into the memo."""
+        memo, match = self.memo, PLAIN.match
+        rest = []
+        for p in new:
+            if memo.promote(p) is not None:
+                continue
+            if m := match(p):
+                word, end, line, line_end = m.groups()
+                v = memo.get(word) if end or line else None
+                if v is None:
+                    v = self._word(SPACE, word)
+                if end:
+                    v += self.ends[end]
+                if line:
+                    v += self.ends["\n"] + self._word("", line)
+                    if line_end:
+                        v += self.ends[line_end]
+                memo[p] = v
+            elif p and _visible(p[0]) and _visible(p[-1]):
+                rest.append(p)
+        if rest:
+            self._learn(rest)
+
     def many(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
         """For each text its pieces (without their leading spaces) and their ids as little-endian 32-bit bytes."""
         group: list[str] = []
@@ -147,9 +189,7 @@ class ByteBpe:
             ends.append(len(flat))
         got = list(map(memo.get, flat))
         if miss := [i for i, v in enumerate(got) if v is None]:
-            new = {flat[i] for i in miss}
-            if new := [p for p in new if p and _visible(p[0]) and _visible(p[-1]) and memo.promote(p) is None]:
-                self._learn(new)
+            self._meet({flat[i] for i in miss})
             for i in miss:
                 got[i] = memo.get(flat[i])
         starts = [0, *ends[:-1]]
