@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import hash_unit
 
-#: Expected training rows of a language, and most languages with a model (by rows; a smaller one cannot be predicted).
-PER_LANGUAGE, LANGUAGES = 600, 64
+#: Expected training rows of a language and of all, and most languages with a model (by rows; others cannot be predicted).
+PER_LANGUAGE, ALL_ROWS, LANGUAGES = 600, 4800, 64
 #: Hashed n-gram places.
 PLACES = 1 << 15
 #: Characters of a text handled at once.
@@ -61,43 +61,46 @@ def features(text: str) -> np.ndarray:
     return counts / max(1e-9, float(np.sqrt((counts * counts).sum())))
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, strength: float = 1e-4, seed: int = 5) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support vector machine, by averaged stochastic subgradient steps. y: -1 or 1."""
+def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, strength: float = 1e-4, seed: int = 5) -> np.ndarray:
+    """Weights (the last is the bias) of a linear support vector machine, by averaged stochastic subgradient steps.
+
+    ``rows`` are sparse (places, values); ``y`` is -1 or 1, and both weigh alike.
+    """
     rng = np.random.default_rng(seed)
-    w, mean, t, n = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0, len(x)
-    share = {s: n / (2 * max(1, int((y == s).sum()))) for s in (-1, 1)}  # both classes weigh alike
+    n = len(rows)
+    share = {s: n / (2 * max(1, int((y == s).sum()))) for s in (-1, 1)}
+    w, scale, bias, t = np.zeros(PLACES), 1.0, 0.0, n  # the weights are scale * w
+    mean, kept = np.zeros(PLACES + 1), 0
     for r in range(rounds):
-        order = rng.permutation(n)
-        for at in range(0, n, 32):
+        for i in rng.permutation(n):
             t += 1
-            some = order[at : at + 32]
-            rate = 1 / (strength * (t + 200))
-            out = x[some] @ w[:-1] + w[-1]
-            wrong = some[y[some] * out < 1]
-            w[:-1] *= 1 - rate * strength
-            if len(wrong):
-                c = y[wrong] * np.array([share[int(s)] for s in y[wrong]])
-                w[:-1] += rate / 32 * (c @ x[wrong])
-                w[-1] += rate / 32 * c.sum() * 0.01
-            norm = np.sqrt((w[:-1] @ w[:-1])) * np.sqrt(strength)
-            if norm > 1:
-                w /= norm
-            if r >= rounds // 2:
-                mean += w
-    return mean / max(1, t - (rounds // 2) * -(-n // 32))
+            rate = 1 / (strength * t)
+            at, v = rows[i]
+            c = int(y[i])
+            out = scale * float(v @ w[at]) + bias
+            scale *= 1 - rate * strength
+            if c * out < 1:
+                step = min(rate, 50.0) * c * share[c]
+                w[at] += step / scale * v
+                bias += 0.01 * step / 50
+        if r >= rounds // 2:
+            mean[:-1] += scale * w
+            mean[-1] += bias
+            kept += 1
+    return mean / max(1, kept)
 
 
 class Model:
-    def __init__(self, languages: list[str], families: list[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, languages: list[str], families: list[str], rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray):
         self.languages = languages
         self.families = sorted(set(families))
         self.members = [[i for i, f in enumerate(families) if f == name] for name in self.families]
         family = np.array([self.families.index(f) for f in families] or [0])[y] if len(y) else y
-        weights = [train_svm(x, np.where(family == f, 1, -1)) for f in range(len(self.families))] if len(self.families) > 1 else []
+        weights = [train_svm(rows, np.where(family == f, 1, -1)) for f in range(len(self.families))] if len(self.families) > 1 else []
         self.pairs = [(a, b) for m in self.members for a, b in combinations(m, 2)]
         for a, b in self.pairs:
-            rows = (y == a) | (y == b)
-            weights.append(train_svm(x[rows], np.where(y[rows] == a, 1, -1)))
+            own = np.flatnonzero((y == a) | (y == b))
+            weights.append(train_svm([rows[i] for i in own], np.where(y[own] == a, 1, -1)))
         self.weights = np.array(weights or np.zeros((0, PLACES + 1)), np.float32)
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -121,11 +124,12 @@ class Model:
 
 
 def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """A model from the rows of ``docs`` with a language and a text with a letter; the sample is the rows of least hash, about ``per_language`` each."""
+    """A model from the rows of ``docs`` with a language and a text with a letter; the sample is the rows of least hash, about ``per_language`` each and ``ALL_ROWS`` in all."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     if not counts:
-        return Model([], [], np.zeros((0, PLACES)), np.zeros(0, int))
+        return Model([], [], [], np.zeros(0, int))
+    per_language = min(per_language, ALL_ROWS // len(counts))
     share = F.lit(0.0)
     for l, n in counts.items():
         share = F.when(F.col("l") == l, F.lit(per_language / n)).otherwise(share)
@@ -136,14 +140,11 @@ def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language:
             columns = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.float32()))], ["l", "at", "v"])
 
-    sample = rows.where(hash_unit("i", "t") < share).select("t", "l").mapInArrow(run, "l string, at array<int>, v array<float>").limit(2 * per_language * LANGUAGES).toArrow()
+    sample = rows.where(hash_unit("i", "t") < share).select("t", "l").mapInArrow(run, "l string, at array<int>, v array<float>").limit(2 * ALL_ROWS).toArrow()
     languages = sorted(set(sample["l"].to_pylist()))
-    x, y = np.zeros((len(sample), PLACES), np.float32), np.zeros(len(sample), int)
-    for n, (l, at, v) in enumerate(zip(sample["l"], sample["at"], sample["v"])):
-        x[n, at.values.to_numpy()] = v.values.to_numpy()
-        y[n] = languages.index(l.as_py())
-    order = np.lexsort((x @ np.arange(PLACES), y))  # whatever the order in which tasks ended
-    return Model(languages, [families.get(l, l) for l in languages], x[order], y[order])
+    # in an order of their own, whatever the order in which tasks ended
+    found = sorted(((l.as_py(), at.values.to_numpy(), v.values.to_numpy()) for l, at, v in zip(sample["l"], sample["at"], sample["v"])), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    return Model(languages, [families.get(l, l) for l in languages], [(at, v.astype(float)) for _, at, v in found], np.array([languages.index(l) for l, _, _ in found], int))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

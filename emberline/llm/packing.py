@@ -30,6 +30,8 @@ from emberline.llm import tokens
 
 #: Tokens after which a task fixes the best path so far.
 BUFFER = 1 << 18
+#: Tokens between the places inside a document where it may be cut within a sentence.
+GRID = 0
 
 
 def best_cuts(positions: list[int], penalties: list[float], window: int) -> list[int]:
@@ -77,7 +79,7 @@ def sentence_ends(bpe: tokens.ByteBpe, words: list[str], pieces: list[bytes], id
 
 class _Packer:
     def __init__(self, window: int, sentence: float, hard: float, first: int):
-        self.window, self.sentence, self.hard, self.sequence = window, sentence, hard, first
+        self.window, self.sentence, self.hard, self.sequence, self.grid = window, sentence, hard, first, GRID
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple[object, int, int, int]] = []  # id, its ids before, ids here, ids in all
         self.cuts: list[tuple[int, float]] = []
@@ -88,7 +90,11 @@ class _Packer:
         while at < n:  # a document longer than the buffer goes in by parts
             step = min(n - at, BUFFER)
             inner = sentence_ends[(sentence_ends > at) & (sentence_ends < at + step)] - at + self.size
-            self.cuts += [(int(p), self.sentence) for p in inner]
+            self.cuts += [(p, self.sentence) for p in inner.tolist()]
+            if self.grid:  # a cut inside a sentence is no matter of where exactly
+                free = np.setdiff1d(np.arange(-(-(at + 1) // self.grid) * self.grid, at + step, self.grid), sentence_ends) - at + self.size
+                self.cuts += [(p, self.hard) for p in free.tolist()]
+                self.cuts.sort()
             self.docs.append((doc, at, step, n))
             self.ids.append(ids[at : at + step])
             self.size += step
