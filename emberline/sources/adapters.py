@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +62,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str, name: str = "events") -> DataFrame:
-    """``sql`` with ``name`` read from the driver's tables."""
-    import re
+def sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """``text`` with each named table read from the DataFrame of that name."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
+    return spark.sql(text, **tables)
+
 
-    return spark.sql(re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql), **{name: table(spark, sf_dir, name)})
+def run(spark: SparkSession, sf_dir: str, text: str, name: str = "events") -> DataFrame:
+    return sql(spark, text, **{name: table(spark, sf_dir, name)})
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
