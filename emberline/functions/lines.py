@@ -23,10 +23,10 @@ BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 def instant(raw: Column) -> Column:
     """A time in ISO form as UTC without zone; no zone means UTC; null where it is none."""
-    t = F.replace(F.trim(raw), F.lit(","), F.lit("."))
-    t = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    zoned = F.when(t.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:\d{2})$"), t).when(t.rlike(r"\d{2}:\d{2}"), F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit("T00:00:00Z")))
-    micros = F.unix_micros(zoned.try_cast("timestamp"))
+    t = F.translate(F.trim(raw), ",", ".")
+    zoned = F.regexp_replace(t, r"(:\d{2}:\d{2}(?:\.\d+)?)$", "$1Z")  # no zone
+    zoned = F.regexp_replace(zoned, r"(:.*[+-]\d{2})(\d{2})$", "$1:$2")
+    micros = F.coalesce(F.unix_micros(zoned.try_cast("timestamp")), F.unix_micros(F.concat(t, F.lit("T00:00:00Z")).try_cast("timestamp")))
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(micros / F.lit(1000000)).cast("decimal(18,6)"))
 
 
@@ -38,24 +38,29 @@ def _field(line: Column, keys: list[str], truthy: bool) -> Column:
     return F.coalesce(*found)
 
 
-def parse(line: Column | str) -> Column:
-    """A struct (ts, level, message, logger) of one line; null for a blank line. A format counts only with a known level."""
-    raw = F.col(line) if isinstance(line, str) else line
+def parsed(rows: DataFrame, line: str) -> DataFrame:
+    """``rows`` with the column ``p``, a struct (ts, level, message, logger) of each line; null for a blank line.
+
+    The formats are tried in order, and one counts only with a known level. The form is found first and the
+    fields are read after, each expression once, so that the generated code stays small.
+    """
+    raw = F.col(line)
     text = F.regexp_replace(raw, r"^\s+|\s+$", "")
     part = lambda p, n: F.regexp_extract(raw, p, n)
     known = lambda p, n: raw.rlike(p) & F.upper(part(p, n)).isin(LEVELS)
-    row = lambda ts, level, message, logger: F.struct(ts.alias("ts"), level.alias("level"), message.alias("message"), logger.alias("logger"))
-    none, empty = F.lit(None).cast("timestamp_ntz"), F.lit("")
     is_json = text.startswith("{") & text.endswith("}") & F.get_json_object(text, "$").isNotNull()
-    return (
-        F.when(text == "", None)
-        .when(is_json, row(instant(_field(text, TIME_KEYS, False)), F.upper(F.coalesce(_field(text, LEVEL_KEYS, True), F.lit("INFO"))), F.coalesce(_field(text, MESSAGE_KEYS, True), text), F.coalesce(_field(text, LOGGER_KEYS, True), empty)))
-        .when(known(LOGGING, 3), row(instant(part(LOGGING, 1)), F.upper(part(LOGGING, 3)), F.trim(part(LOGGING, 4)), part(LOGGING, 2)))
-        .when(known(SPRING, 2), row(instant(part(SPRING, 1)), F.upper(part(SPRING, 2)), F.trim(part(SPRING, 5)), part(SPRING, 4)))
-        .when(known(PREFIX, 2), row(instant(part(PREFIX, 1)), F.upper(part(PREFIX, 2)), F.trim(part(PREFIX, 3)), empty))
-        .when(known(LEVEL_ONLY, 1), row(none, F.upper(part(LEVEL_ONLY, 1)), F.trim(part(LEVEL_ONLY, 2)), empty))
-        .otherwise(row(none, F.lit("INFO"), text, empty))
-    )
+    form = F.when(text == "", 0).when(is_json, 1).when(known(LOGGING, 3), 2).when(known(SPRING, 2), 3).when(known(PREFIX, 2), 4).when(known(LEVEL_ONLY, 1), 5).otherwise(6)
+    of = lambda **k: F.coalesce(*(F.when(F.col("form_") == int(n[1:]), c) for n, c in k.items()))
+    body = F.trim(F.col("text_"))
+    fields = {
+        "ts_": of(f1=_field(body, TIME_KEYS, False), f2=part(LOGGING, 1), f3=part(SPRING, 1), f4=part(PREFIX, 1)),
+        "level_": of(f1=_field(body, LEVEL_KEYS, True), f2=part(LOGGING, 3), f3=part(SPRING, 2), f4=part(PREFIX, 2), f5=part(LEVEL_ONLY, 1)),
+        "message_": of(f1=_field(body, MESSAGE_KEYS, True), f2=F.trim(part(LOGGING, 4)), f3=F.trim(part(SPRING, 5)), f4=F.trim(part(PREFIX, 3)), f5=F.trim(part(LEVEL_ONLY, 2))),
+        "logger_": of(f1=_field(body, LOGGER_KEYS, True), f2=part(LOGGING, 2), f3=part(SPRING, 4)),
+    }
+    found = rows.withColumns({"form_": form, "text_": text}).withColumns(fields)
+    row = F.struct(instant(F.col("ts_")).alias("ts"), F.upper(F.coalesce("level_", F.lit("INFO"))).alias("level"), F.coalesce("message_", "text_").alias("message"), F.coalesce("logger_", F.lit("")).alias("logger"))
+    return found.withColumn("p", F.when(F.col("form_") > 0, row)).drop("form_", "text_", *fields)
 
 
 def events(lines: DataFrame) -> DataFrame:
@@ -63,13 +68,13 @@ def events(lines: DataFrame) -> DataFrame:
 
     A line without a time takes the last one before it in its service, else its file's time of modification.
     """
-    parsed = lines.withColumn("p", parse("value")).where("p is not null")
+    found = parsed(lines, "value").where("p is not null")
     w = Window.partitionBy("service").orderBy("file", "line_no")
     known = F.last("p.ts", ignorenulls=True).over(w)
     # a file without any time so far gives its own time to the lines that follow, in later files too
     first = F.first("modified").over(w)
     n = F.row_number().over(w)
-    rows = parsed.withColumns({"at": F.coalesce(known, first), "n": n})
+    rows = found.withColumns({"at": F.coalesce(known, first), "n": n})
     detail = F.when(F.col("p.logger") != "", F.concat("p.message", F.lit(" ["), "p.logger", F.lit("]"))).otherwise(F.col("p.message"))
     ident = F.concat("service", F.lit("-log-"), F.when(F.col("n") < 100000, F.lpad(F.col("n").cast("string"), 5, "0")).otherwise(F.col("n").cast("string")))
     return rows.select(ident.alias("id"), F.lit("log").alias("source_type"), F.col("service").alias("source"), F.col("at").alias("ts"), detail.alias("detail"), F.col("p.level").alias("level"), "file", F.col("p.logger").alias("logger"), "n")
