@@ -94,6 +94,7 @@ class ByteBpe:
 
     def __init__(self, path: str):
         self.t = load(path)
+        self.model = self.t.model.tokenize
         vocab = self.t.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         for s, i in vocab.items():
@@ -124,7 +125,7 @@ class ByteBpe:
         """The ids of one word alone, from the library's model."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
-        return array("I", [t.id for t in self.t.model.tokenize(lead + word)]).tobytes()
+        return array("I", [t.id for t in self.model(lead + word)]).tobytes()
 
     def _meet(self, new: set[str]) -> None:
         """Put all of ``new`` that stand between safe cuts into the memo."""
