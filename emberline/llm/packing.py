@@ -1,7 +1,7 @@
 """Packing: order-preserving dynamic programming over window cuts.
 
 Rows keep the order in which they are read. Cuts may fall at a document's end (free), at a sentence's end (a
-small penalty) or, in a sentence longer than a window, at any multiple of the window (a larger one). A window
+small penalty) or at every ``GRID``-th token of a document (a larger one), the rows' end anywhere. A window
 costs its padding: what is missing to the window's size, nothing if its length is a power of two. With
 ``f[j]`` the least cost of all up to cut j at position p[j],
 
@@ -31,27 +31,27 @@ from emberline.llm import tokens
 #: Tokens after which a task fixes the best path so far.
 BUFFER = 1 << 18
 #: Tokens between the places inside a document where it may be cut within a sentence.
-GRID = 0
+GRID = 64
 
 
-def best_cuts(positions: list[int], penalties: list[float], window: int) -> list[int]:
+def best_cuts(positions: list[int], penalties: list[float], window: int, least: int = 64) -> list[int]:
     """Positions of the cuts of least cost; ``positions`` ascend from 0 and no two neighbours are over ``window`` apart.
 
-    The first is the start and the last is always a cut.
+    The first is the start and the last is always a cut. Powers of two below ``least`` count as any other length.
     """
     n = len(positions)
     cost, back = [0.0] * n, [0] * n
-    place = {p: i for i, p in enumerate(positions)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (f[i] + p[i], i), ascending
+    place = {p: i for i, p in enumerate(positions)}.get
+    powers = [1 << k for k in range(window.bit_length()) if least <= 1 << k < window]
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (f[i] + p[i], p[i], i), ascending
     for j in range(1, n):
         p = positions[j]
-        while positions[queue[0][1]] < p - window:
+        while queue[0][1] < p - window:
             queue.popleft()
-        g, i = queue[0]
+        g, _, i = queue[0]
         best = g + window - p
         for w in powers:
-            k = place.get(p - w)
+            k = place(p - w)
             if k is not None and cost[k] < best:
                 best, i = cost[k], k
         best += penalties[j]
@@ -59,7 +59,7 @@ def best_cuts(positions: list[int], penalties: list[float], window: int) -> list
         g = best + p
         while queue and queue[-1][0] > g:
             queue.pop()
-        queue.append((g, j))
+        queue.append((g, p, j))
     out, j = [], n - 1
     while j:
         out.append(positions[j])
@@ -79,46 +79,37 @@ def sentence_ends(bpe: tokens.ByteBpe, words: list[str], pieces: list[bytes], id
 
 class _Packer:
     def __init__(self, window: int, sentence: float, hard: float, first: int):
-        self.window, self.sentence, self.hard, self.sequence, self.grid = window, sentence, hard, first, GRID
+        self.window, self.sentence, self.hard, self.sequence = window, sentence, hard, first
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple[object, int, int, int]] = []  # id, its ids before, ids here, ids in all
-        self.cuts: list[tuple[int, float]] = []
+        self.cuts: list[tuple[np.ndarray, float]] = []  # places and their penalty
         self.size = 0
 
-    def add(self, doc, ids: np.ndarray, sentence_ends: np.ndarray) -> Iterator[tuple]:
+    def add(self, doc, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
         at, n = 0, len(ids)
         while at < n:  # a document longer than the buffer goes in by parts
             step = min(n - at, BUFFER)
-            inner = sentence_ends[(sentence_ends > at) & (sentence_ends < at + step)] - at + self.size
-            self.cuts += [(p, self.sentence) for p in inner.tolist()]
-            if self.grid:  # a cut inside a sentence is no matter of where exactly
-                free = np.setdiff1d(np.arange(-(-(at + 1) // self.grid) * self.grid, at + step, self.grid), sentence_ends) - at + self.size
-                self.cuts += [(p, self.hard) for p in free.tolist()]
-                self.cuts.sort()
+            self.cuts.append((ends[(ends > at) & (ends < at + step)] + (self.size - at), self.sentence))
+            self.cuts.append((np.arange(at // GRID * GRID + GRID, at + step, GRID) + (self.size - at), self.hard))
             self.docs.append((doc, at, step, n))
             self.ids.append(ids[at : at + step])
             self.size += step
             at += step
-            self.cuts.append((self.size, 0.0 if at == n else self.hard))
+            self.cuts.append((np.array([self.size]), 0.0 if at == n else self.hard))
             if self.size >= BUFFER:
                 yield from self.flush(False)
 
     def flush(self, last: bool) -> Iterator[tuple]:
         if not self.size:
             return
-        positions, penalties = [0], [0.0]
         if last:  # the end may be cut anywhere, so that the rows' last windows need no padding
-            known = {p for p, _ in self.cuts}
-            self.cuts += [(p, self.hard) for p in range(max(1, self.size - 2 * self.window), self.size) if p not in known]
-            self.cuts.sort()
-        for p, c in self.cuts:
-            while p - positions[-1] > self.window:
-                positions.append(positions[-1] + self.window)
-                penalties.append(self.hard)
-            if p > positions[-1]:
-                positions.append(p)
-                penalties.append(c)
-        ends = best_cuts(positions, penalties, self.window)
+            self.cuts.append((np.arange(max(1, self.size - 2 * self.window), self.size), self.hard))
+        places = np.concatenate([p for p, _ in self.cuts])
+        costs = np.repeat([c for _, c in self.cuts], [len(p) for p, _ in self.cuts])
+        order = np.lexsort((costs, places))
+        places, first = np.unique(places[order], return_index=True)
+        costs = costs[order][first]
+        ends = best_cuts([0, *places.tolist()], [0.0, *costs.tolist()], self.window, 1 if last else 64)
         if not last:
             ends.pop()  # the last window is still open
         if not ends:
@@ -140,11 +131,12 @@ class _Packer:
             doc, before, here, total = rest[0]
             rest[0] = (doc, before + done, here - done, total)
         self.ids, self.docs = ([ids[start:]] if start < self.size else []), rest
-        self.cuts = [(p - start, c) for p, c in self.cuts if p > start]
+        left = places > start
+        self.cuts = [(places[left & (costs == c)] - start, float(c)) for c in np.unique(costs[left])]
         self.size -= start
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, sentence_penalty: float = 0.5, hard_penalty: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, sentence_penalty: float = 0.5, hard_penalty: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all of ``docs`` in sequences of at most ``window`` tokens.
 
     A document is its text's ids (null text: none) and then ``end_id``, so that each row has at least one token.
