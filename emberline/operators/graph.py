@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text as X
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``, or one of our own where it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the checkpoint folder that the cluster names (one of our own where it names none)."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")):
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+    """``df`` computed once and read from the shared checkpoint folder: cuts lineage and survives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
