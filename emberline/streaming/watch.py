@@ -52,7 +52,7 @@ def trips(errors: DataFrame, count: int = 3, window: float = 90, cooldown: float
     """
 
     def frame(key: str, found: list[tuple[float, int]]) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key] * len(found), "at": [t for t, _ in found], "errors": pd.Series([n for _, n in found], dtype="int32")})
+        return pd.DataFrame({"key": pd.Series([key] * len(found), dtype=object), "at": pd.Series([t for t, _ in found], dtype=float), "errors": pd.Series([n for _, n in found], dtype="int32")})
 
     if not errors.isStreaming:
         # sorted parts of one key come in batches, so that no key is held whole
