@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,25 +11,42 @@ from emberline.operators import graph, report, signals
 from emberline.operators.signals import Settings
 
 
-def reconstruct(telemetry: DataFrame, services: DataFrame, service_edges: DataFrame, settings: Settings = Settings(), system: str = "platform") -> dict[str, DataFrame]:
-    """The tables of all incidents by name, lazily: those not asked for cost nothing but propagation's small loop."""
-    found = signals.anomalies(telemetry)
-    classified = signals.classify(telemetry, signals.first_trouble(telemetry, found))
-    # one row a service and incident: small beside the telemetry, and read by all that follows
-    signal = graph.cut(signals.failure_signals(classified, found, settings))
-    origin = signals.origins(signal)
-    change = signals.correlate(classified.where("signal = 'change'"), origin, settings)
-    steps = graph.propagate(signal, origin, services, service_edges)
-    impact = report.impacts(signal, origin, services)
-    fact = graph.cut(report.facts(classified, found, signal, origin, change, impact, steps, settings))
-    line = report.timeline(classified, found, signal, fact, services)
-    architecture = telemetry.where("source_type = 'architecture'").groupBy("incident_key").agg(F.array(F.min_by("id", F.struct("ts", "seq"))).alias("arch_ids"))
-    hypothesis = report.hypotheses(fact, architecture)
-    gaps = report.missing_evidence(fact, report.silent_services(classified, fact, services))
-    action = report.actions(fact)
-    text = report.texts(fact, line, hypothesis, action, system)
-    return {
-        "anomalies": found, "classified": classified, "signals": signal, "origins": origin, "changes": change, "propagation": steps,
-        "affected": graph.affected(steps, origin), "impacts": impact, "facts": fact, "timeline": line, "hypotheses": hypothesis, "gaps": gaps,
-        "actions": action, "texts": text, "dangling": report.dangling(line, hypothesis, steps, telemetry), "briefings": report.briefings(fact, text, hypothesis, gaps, action),
-    }
+class Star(dict):
+    """Tables by name, each planned when first asked for, from those before it."""
+
+    def __init__(self, builders: dict[str, Callable[[Star], DataFrame]]):
+        super().__init__()
+        self.builders = builders
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.builders[name](self)
+        return self[name]
+
+    def all(self) -> dict[str, DataFrame]:
+        return {name: self[name] for name in self.builders}
+
+
+def reconstruct(telemetry: DataFrame, services: DataFrame, service_edges: DataFrame, settings: Settings = Settings(), system: str = "platform") -> Star:
+    """The tables of all incidents by name. One row a service and incident, and one an incident, are computed once
+    and kept in the checkpoint folder: they are small beside the telemetry and all that follows reads them."""
+    architecture = lambda: telemetry.where("source_type = 'architecture'").groupBy("incident_key").agg(F.array(F.min_by("id", F.struct("ts", "seq"))).alias("arch_ids"))
+    return Star(
+        {
+            "anomalies": lambda s: signals.anomalies(telemetry),
+            "classified": lambda s: signals.classify(telemetry, signals.first_trouble(telemetry, s["anomalies"])),
+            "signals": lambda s: graph.cut(signals.failure_signals(s["classified"], s["anomalies"], settings)),
+            "origins": lambda s: signals.origins(s["signals"]),
+            "changes": lambda s: signals.correlate(s["classified"].where("signal = 'change'"), s["origins"], settings),
+            "propagation": lambda s: graph.cut(graph.propagate(s["signals"], s["origins"], services, service_edges)),
+            "affected": lambda s: graph.affected(s["propagation"], s["origins"]),
+            "impacts": lambda s: report.impacts(s["signals"], s["origins"], services),
+            "facts": lambda s: graph.cut(report.facts(s["classified"], s["anomalies"], s["signals"], s["origins"], s["changes"], s["impacts"], s["propagation"], settings)),
+            "timeline": lambda s: report.timeline(s["classified"], s["anomalies"], s["signals"], s["facts"], services),
+            "hypotheses": lambda s: report.hypotheses(s["facts"], architecture()),
+            "gaps": lambda s: report.missing_evidence(s["facts"], report.silent_services(s["classified"], s["facts"], services)),
+            "actions": lambda s: report.actions(s["facts"]),
+            "texts": lambda s: report.texts(s["facts"], s["timeline"], s["hypotheses"], s["actions"], system),
+            "dangling": lambda s: report.dangling(s["timeline"], s["hypotheses"], s["propagation"], telemetry),
+            "briefings": lambda s: report.briefings(s["facts"], s["texts"], s["hypotheses"], s["gaps"], s["actions"]),
+        }
+    )

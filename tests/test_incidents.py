@@ -63,7 +63,7 @@ def test_change_keyword_beats_error_level(spark):
 
 def test_tables_without_rows(spark):
     s = star(spark, [])
-    assert all(df.count() == 0 for df in s.values())
+    assert all(df.count() == 0 for df in s.all().values())
 
 
 @pytest.mark.parametrize("x", [0.0, 22.6, 480.0, 0.3, 1.23457e06, 123456.7, 999999.6, 1e-5, 12345678.0, -4.5, 0.0001])
