@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions import text as X
 
+#: Rounds of labels in a pass, and passes, of the search for rings. They bound its work and not the result: the closure joins rings left apart.
+HOPS, PASSES = 16, 3
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's ``spark.checkpoint.dir``, or one of our own where it names none."""
@@ -70,26 +73,79 @@ def closure(edges: DataFrame) -> DataFrame:
         paths, n = new, m
 
 
+def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that leads to each within ``HOPS`` edges, itself included."""
+    labels = nodes.select("node", F.col("node").alias("label"))
+    for _ in range(HOPS):
+        near = edges.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("near"))
+        new = cut(labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
+        labels = new.select("node", "label")
+        if new.where("label <> was").isEmpty():
+            break
+    return labels
+
+
+def rings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, ring): nodes of one ring reach one another. Two rings may do so too, where the bounds ended the search early."""
+    found, n, e = [], nodes, edges
+    for _ in range(PASSES):
+        down, up = least_labels(n, e), least_labels(n, e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found.append(cut(down.join(up, ["node", "label"]).select("node", F.col("label").alias("ring"))))
+        n = cut(n.join(found[-1], "node", "left_anti"))
+        e = cut(known_edges(n, e))
+        if e.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return nodes.join(every, "node", "left").select("node", F.coalesce("ring", "node").alias("ring"))
+
+
+def condensed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, cluster, size) of every node, and (src, dst) of the clusters that reach one another.
+
+    A cluster is a strongly connected group, named by its least node. Rings are folded before the closure, so a
+    group costs its edges and not the square of its nodes; the closure then joins what the rings left apart.
+    """
+    n, e = cut(nodes.select("node").distinct()), cut(known_edges(nodes, edges))
+    ring = cut(rings(n, e))
+    a, b = ring.toDF("src", "rs"), ring.toDF("dst", "rd")
+    reach = closure(e.join(a, "src").join(b, "dst").where("rs <> rd").select(F.col("rs").alias("src"), F.col("rd").alias("dst")))
+    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    mutual = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("ring")).agg(F.min("dst").alias("m"))
+    top = cut(ring.join(mutual, "ring", "left").select("node", "ring", F.least("ring", "m").alias("top")))
+    named = top.groupBy("top").agg(F.min("node").alias("cluster"), F.count(F.lit(1)).alias("size"))
+    held = cut(top.join(named, "top").select("node", "ring", "cluster", "size"))
+    of = held.select("ring", "cluster").distinct()
+    x, y = of.toDF("src", "cs"), of.toDF("dst", "cd")
+    between = cut(reach.join(x, "src").join(y, "dst").where("cs <> cd").select(F.col("cs").alias("src"), F.col("cd").alias("dst")).distinct())
+    return held.select("node", "cluster", "size"), between
+
+
+def radii_of(nodes: DataFrame, member: DataFrame, between: DataFrame) -> DataFrame:
+    size = member.select(F.col("cluster").alias("src"), "size").distinct()
+    above = between.join(size, "src").groupBy(F.col("dst").alias("cluster")).agg(F.sum("size").alias("above"))
+    found = member.join(above, "cluster", "left").select("node", (F.coalesce("above", F.lit(0).cast("long")) + F.col("size") - 1).alias("blast_radius"))
+    return nodes.select("node").join(found, "node")
+
+
 def blast_radii(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, blast_radius): how many other known nodes depend on it, directly or not (edges run from user to used)."""
-    reach = closure(known_edges(nodes, edges)).where("src <> dst")
-    return nodes.join(reach.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("r")), "node", "left").select("node", F.coalesce("r", F.lit(0).cast("long")).alias("blast_radius"))
+    return radii_of(nodes, *condensed(nodes, edges))
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cluster, size, node): strongly connected groups of two nodes or more, named by their least node; self loops are groups of one of their own."""
-    reach = closure(known_edges(nodes, edges))
-    mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).where("a.src <> a.dst")
-    member = mutual.groupBy(F.col("a.src").alias("node")).agg(F.least(F.min("a.dst"), F.first("a.src")).alias("cluster"), (F.count(F.lit(1)) + 1).alias("size"))
+    member = condensed(nodes, edges)[0].where("size > 1")
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(nodes, "node", "left_semi")
     return member.select("cluster", "size", "node").union(loops.select("node", F.lit(1).cast("long"), "node"))
 
 
 def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, fan_in, fan_out, blast_radius, in_cycle)."""
-    held = cycles(nodes, edges).where("size > 1").select("node", F.lit(True).alias("c"))
-    out = degrees(nodes, edges).join(blast_radii(nodes, edges), "node").join(held, "node", "left")
-    return out.select("node", "fan_in", "fan_out", "blast_radius", F.coalesce("c", F.lit(False)).alias("in_cycle"))
+    member, between = condensed(nodes, edges)
+    out = degrees(nodes, edges).join(radii_of(nodes, member, between), "node").join(member, "node")
+    return out.select("node", "fan_in", "fan_out", "blast_radius", (F.col("size") > 1).alias("in_cycle"))
 
 
 def distances(edges: DataFrame, start: DataFrame) -> DataFrame:

@@ -47,11 +47,11 @@ FROM (
 ) e WHERE d < 12
 """
 
-#: Edges between suppliers that follow one another in some orders, and the suppliers they touch.
+#: Edges between suppliers that follow one another in an order, and the suppliers they touch.
 LINKS_SQL = """
 SELECT DISTINCT src, dst FROM (
   SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS dst
-  FROM lineitem WHERE l_orderkey % 600 = 0
+  FROM lineitem
 ) l WHERE dst IS NOT NULL
 """
 
