@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import langid, mixing, packing, simhash, toxicity
+from emberline.llm import langid, mixing, packing, shingles, toxicity
 from emberline.llm.common import held_out, materialise
 from emberline.llm.queries import categories, table
 
@@ -22,8 +22,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group of near-duplicates the document of the least id stays: links are those of op4 and those of five-word shingles of similarity 0.8 or more."""
+    return shingles.deduplicate(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
