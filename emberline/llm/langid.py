@@ -19,6 +19,8 @@ from emberline.llm.common import hash_unit
 
 #: Expected training rows of a language and of all, and most languages with a model (by rows; others cannot be predicted).
 PER_LANGUAGE, ALL_ROWS, LANGUAGES = 600, 4800, 64
+#: Of the least similarity of a language's training rows to the rest of them, this share is asked of a text that is to count as known; of one under 2^SHORT places half as much.
+FLOOR, SHORT = 0.6, 6
 #: Hashed n-gram places.
 PLACES = 1 << 15
 #: Characters of a text handled at once.
@@ -102,6 +104,27 @@ class Model:
             own = np.flatnonzero((y == a) | (y == b))
             weights.append(train_svm([rows[i] for i in own], np.where(y[own] == a, 1, -1)))
         self.weights = np.array(weights or np.zeros((0, PLACES + 1)), np.float32)
+        self.centres, self.floors = np.zeros((len(languages), PLACES), np.float32), np.zeros((len(languages), 16))
+        for l in range(len(languages)):
+            own = [rows[i] for i in np.flatnonzero(y == l)]
+            total = np.zeros(PLACES)
+            for at, v in own:
+                total[at] += v
+            length = float(np.sqrt(total @ total))
+            self.centres[l] = total / max(1e-9, length)
+            # each row against the others alone, as if it were held out; features have length 1
+            near = np.array([(d - 1) / np.sqrt(max(1e-9, length * length - 2 * d + 1)) for at, v in own for d in [float(v @ total[at])]])
+            # a short text is less like any: a text of 2^k places or more is held against rows of as many
+            wide = np.array([len(at) for at, _ in own])
+            for k in range(16):
+                of = near[wide >= 1 << k]
+                self.floors[l, k] = FLOOR * (0.5 if k < SHORT else 1) * max(0.0, float(np.quantile(of, 0.001))) if len(of) > 1 else self.floors[l, k - 1] if k else 0.0
+
+    def known(self, text: str) -> bool:
+        """Whether the text is as like some language's training rows as these are like one another, ``FLOOR`` allowed for."""
+        f = features(text)
+        k = max(0, int(np.count_nonzero(f)).bit_length() - 1)
+        return bool((self.centres @ f >= self.floors[:, k]).any())
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and a score from 0 to 1: the family's confidence times that of the language within it."""
@@ -164,7 +187,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.05, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of ``least`` or more.
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, like the rows of a learnt language, and a score of ``least`` or more.
 
     Rows with a null text go; repeated rows stay or go together.
     """
@@ -175,7 +198,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.05, text_col: str
         import pandas as pd
 
         m = held.value
-        return pd.Series([has_letter(t) and m.predict(t)[1] >= least for t in texts], dtype=bool)
+        return pd.Series([has_letter(t) and m.known(t) and m.predict(t)[1] >= least for t in texts], dtype=bool)
 
     return docs.where(known(F.col(text_col)))
 
