@@ -350,12 +350,18 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.predict(docs, nothing, list(by)).where("toxic").count() == 0 and toxicity.predict(empty, chain, list(by)).count() == 0
 
 
-def test_score_equals_counts_by_hand(spark, docs, empty):
+@pytest.mark.parametrize("hot", [0, 2, 512])
+def test_score_equals_counts_by_hand(spark, docs, empty, hot, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(lmscore, "RANGE_TOKENS", 20)
+    rng = random.Random(4)
     rows = [(0, "a b a b", "", "", 0), (1, "a c", "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0), (4, "zzz a", "", "", 0), (None, "b", "", "", 0), (4, "zzz a", "", "", 0)]
+    rows += [(n, " ".join(rng.choices(["a", "b", "zzz", "c", "d", "e"], [9, 7, 5, 1, 1, 1], k=rng.randint(1, 40))), "", "", 0) for n in range(10, 60)]
+    target = {0, *range(10, 30)}
     df = clashing(spark.createDataFrame(rows, DOCS))
-    got = lmscore.score(df, spark.createDataFrame([(0,), (0,), (None,)], "k long"), 3, 1 << 16).collect()
+    named = spark.createDataFrame([(i,) for i in (*target, 0, None)], "k long")
+    got = lmscore.score(df, named, 3, hot).collect()
     vocabulary = ["a", "b", "zzz"]
-    assert lmscore.vocabulary(df, 3) == vocabulary
 
     def model(texts):
         ids = [[vocabulary.index(w) if w in vocabulary else 3 for w in t.split()] for t in texts if t]
@@ -364,10 +370,17 @@ def test_score_equals_counts_by_hand(spark, docs, empty):
             for a, b in zip([4, *x], x):
                 uni[b] += 1
                 pair[a, b] = pair.get((a, b), 0) + 1
-        before = [*uni, len(ids)]
-        return lambda a, b: -np.log(lmscore.BIGRAM * pair.get((a, b), 0) / max(1, before[a]) + lmscore.UNIGRAM * uni[b] / max(1, uni.sum()) + (1 - lmscore.BIGRAM - lmscore.UNIGRAM) / 4)
+        before, total = [*uni, len(ids)], max(1, uni.sum())
+        rest = (1 - lmscore.BIGRAM - lmscore.UNIGRAM) / 4
 
-    target, ground = model([rows[0][1]]), model([r[1] for r in rows])
+        def loss(a, b):
+            if 3 in (a, b):
+                return -np.log((lmscore.BIGRAM + lmscore.UNIGRAM) * uni[b] / total + rest)
+            return -np.log(lmscore.BIGRAM * pair.get((a, b), 0) / max(1, before[a]) + lmscore.UNIGRAM * uni[b] / total + rest)
+
+        return loss
+
+    mine, ground = model([r[1] for r in rows if r[0] in target]), model([r[1] for r in rows])
     for r in got:
         text = next(t for i, t, *_ in rows if i == r["doc_id"])
         x = [vocabulary.index(w) if w in vocabulary else 3 for w in (text or "").split()]
@@ -375,8 +388,12 @@ def test_score_equals_counts_by_hand(spark, docs, empty):
         if not x:
             assert r["difference"] is None
             continue
-        for m, c in ((target, "loss_target"), (ground, "loss_background")):
+        for m, c in ((mine, "loss_target"), (ground, "loss_background")):
             assert abs(r[c] - np.mean([m(a, b) for a, b in zip([4, *x], x)])) < 1e-4
-    assert len(got) == len(rows)
-    assert lmscore.score(docs, spark.createDataFrame([], "k long")).count() == len(awkward())
-    assert lmscore.score(empty, spark.createDataFrame([], "k long")).count() == 0
+    assert sorted(key(r["doc_id"]) for r in got) == sorted(key(r[0]) for r in rows)
+    if not hot:
+        monkeypatch.setattr(lmscore, "BROADCAST_IDS", 3)  # by a shuffle
+        again = {r["doc_id"]: r["difference"] for r in lmscore.score(df, named, 3, hot).collect()}
+        assert all(again[r["doc_id"]] == pytest.approx(r["difference"], abs=1e-5) for r in got)
+        assert lmscore.score(docs, spark.createDataFrame([], "k long")).count() == len(awkward())
+        assert lmscore.score(empty, spark.createDataFrame([], "k long")).count() == 0
