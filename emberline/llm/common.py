@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key with one part in so many of all rows is hot.
+HOT_SHARE = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session in one process may have one of our own instead."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -37,6 +43,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_key(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataFrame:
+    """The inner join of ``many`` with ``one``, which has a row for each key and in ``rows`` how many of ``many`` have it.
+
+    Keys with a ``HOT_SHARE``-th of all rows or more, of which there are at most ``HOT_SHARE``, are broadcast, so that
+    no key's rows meet in one task; the others meet in a shuffle.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(one.where(F.col(rows) * HOT_SHARE >= total))
+    cold = one.where(F.col(rows) * HOT_SHARE < total)
+    here = many.join(hot, key)
+    return here.unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key)).drop(rows)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -3,9 +3,9 @@
 Only different fingerprints are compared, so copies cost one row. Two fingerprints within the radius r agree
 on at least b-r of b equal blocks of bits (pigeonhole), so comparing within the groups that share b-r blocks
 finds every link; no pair is missed and no candidate is dropped. A group over ``TILE`` fingerprints is dealt
-into tiles and each pair of tiles is compared in a task of its own. Within a pair the fingerprints lie in the
-order of their bit counts and runs of them whose bit counts differ beyond the radius are skipped. A task returns
-a spanning forest of the links it found, never the pairs themselves. Components then come from label
+into tiles of one bit count each, and only pairs of tiles whose bit counts differ by no more than the radius are made;
+each is compared in a task of its own. Within a pair the fingerprints lie in the order of their bit counts and runs
+of them whose bit counts differ beyond the radius are skipped. A task returns a spanning forest of the links it found, never the pairs themselves. Components then come from label
 propagation with pointer jumping over tables in the shared folder.
 """
 
@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import fresh, materialise
+from emberline.llm.common import fresh, join_by_key, materialise
 
 #: Most fingerprints of one tile, and of the runs compared at once.
 TILE, RUN = 512, 128
+#: A tile's number is its bit count times this, plus its place among the tiles of that bit count.
+TILE_NUMBERS = 1 << 40
 #: Blocks beyond the radius: with radius 2, any two of four 16-bit blocks make a key of 32 bits.
 SPARE = 2
 
@@ -97,10 +99,15 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     masks = [sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in some) for some in combinations(range(blocks), SPARE)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(n).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(signed)))).alias("k")).select("fp", "k.*")
-    groups = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = keyed.join(groups, ["band", "key"]).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    paired = dealt.select("band", "key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    keyed = keyed.withColumn("bits", F.bit_count("fp"))
+    classes = keyed.groupBy("band", "key", "bits").agg(F.count(F.lit(1)).alias("n"))
+    # at most 65 classes of a group: how many tiles each has, a group of one tile's rows having one in all
+    groups = classes.groupBy("band", "key").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("bits", F.ceil(F.col("n") / TILE).cast("int")))).alias("tiles")).where("size > 1")
+    small = F.col("size") <= TILE
+    dealt = keyed.join(groups, ["band", "key"]).withColumn("own", F.when(small, 0).otherwise(F.col("bits") * TILE_NUMBERS + F.pmod(F.xxhash64("fp"), F.col("tiles")[F.col("bits")])).cast("long"))
+    near = F.filter(F.sequence(F.col("bits") - radius, F.col("bits") + radius), lambda c: F.map_contains_key("tiles", c))
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.col("tiles")[c] - 1), lambda n: c * F.lit(TILE_NUMBERS) + n)))
+    paired = dealt.select("band", "key", "own", "fp", F.explode(F.when(small, F.array(F.lit(0).cast("long"))).otherwise(others)).alias("other"))
     paired = paired.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +163,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int
     Other columns are not read. An empty table gives an empty table.
     """
     prints = materialise(fingerprints(docs, words, seed, id_col, text_col), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("i").alias("least"))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("i").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     labels = components(links(nodes, radius))
     joined = materialise(nodes.join(labels, F.col("fp") == F.col("node")).select("fp", "label", "least"), "simhash-groups")
-    named = joined.groupBy("label").agg(F.min("least").alias("named"))
-    linked = joined.join(named, "label").select("fp", "named")
-    every = nodes.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component"))
-    return prints.join(every, "fp").select(F.col("i").alias(id_col), "fp", "component")
+    named = materialise(joined.groupBy("label").agg(F.min("least").alias("named"), F.count(F.lit(1)).alias("m")), "simhash-names")
+    linked = join_by_key(joined.select("fp", "label"), named, "label", "m").select("fp", "named")
+    every = materialise(nodes.join(linked, "fp", "left").select("fp", F.coalesce("named", "least").alias("component"), "n"), "simhash-components")
+    return join_by_key(prints, every, "fp", "n").select(F.col("i").alias(id_col), "fp", "component")
 
 
 def hexadecimal(fp: str):
