@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import hash_unit
 
-#: Expected training rows of a language and of all, and most languages with a model (by rows; others cannot be predicted).
-PER_LANGUAGE, ALL_ROWS, LANGUAGES = 600, 4800, 64
+#: Expected training rows of a language, and of all; each language has ``LEAST_ROWS`` all the same.
+PER_LANGUAGE, ALL_ROWS, LEAST_ROWS = 600, 4800, 20
 #: Of the least similarity of a language's training rows to the rest of them, this share is asked of a text that is to count as known; of one under 2^SHORT places half as much.
 FLOOR, SHORT = 0.6, 6
 #: Hashed n-gram places.
@@ -41,17 +41,33 @@ def has_letter(text: str | None) -> bool:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Places of the byte 2-, 3- and 4-grams of the lower-cased text between spaces, by slices of a long text."""
-    for at in range(0, max(1, len(text)), SLICE):
-        raw = b" " + b" ".join(text[at : at + SLICE].lower().encode().translate(FOLD).split()) + b" "
-        a = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    """Places of the byte 2-, 3- and 4-grams of the lower-cased text with single spaces between words and around it.
+
+    A long text goes by slices that end before white space, and each slice begins with the last bytes of the one
+    before, so that no gram is lost or counted twice; only a word of half a slice or more is cut.
+    """
+    end, last = 0, b""
+    while end < len(text) or not last:
+        at, end = end, min(len(text), end + SLICE)
+        whole = end
+        while end < len(text) and end > at + SLICE // 2 and not text[end].isspace():
+            end -= 1
+        if end <= at + SLICE // 2:
+            end = whole
+        raw = b" ".join(text[at:end].lower().encode().translate(FOLD).split()) + b" "
+        if last and raw == b" ":
+            continue
+        a = np.frombuffer(last + raw if last else b" " + raw, np.uint8).astype(np.uint32)
         if len(a) < 4:
             a = np.pad(a, (0, 4 - len(a)), constant_values=32)
         two = a[:-1] | a[1:] << np.uint32(8)
         three = two[:-1] | a[2:] << np.uint32(16)
         four = three[:-1] | a[3:] << np.uint32(24)
-        every = np.concatenate((two ^ np.uint32(0x5BD1E995), three, four ^ np.uint32(0x27D4EB2F)))
+        # of the bytes of the slice before, which are three, no gram counts again
+        old = len(last)
+        every = np.concatenate((two[max(0, old - 1) :] ^ np.uint32(0x5BD1E995), three[max(0, old - 2) :], four[max(0, old - 3) :] ^ np.uint32(0x27D4EB2F)))
         yield ((every * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32)
+        last = a[-3:].astype(np.uint8).tobytes()
 
 
 def features(text: str) -> np.ndarray:
@@ -149,13 +165,11 @@ class Model:
 def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language: int = PER_LANGUAGE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model from the rows of ``docs`` with a language and a text with a letter; the sample is the rows of least hash, about ``per_language`` each and ``ALL_ROWS`` in all."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()}  # a row for each language
     if not counts:
         return Model([], [], [], np.zeros(0, int))
-    per_language = min(per_language, ALL_ROWS // len(counts))
-    share = F.lit(0.0)
-    for l, n in counts.items():
-        share = F.when(F.col("l") == l, F.lit(per_language / n)).otherwise(share)
+    per_language = max(LEAST_ROWS, min(per_language, ALL_ROWS // len(counts)))
+    share = F.lit(per_language) / F.element_at(F.create_map(*(F.lit(x) for l in counts.items() for x in l)), F.col("l"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +177,7 @@ def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language:
             columns = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.float32()))], ["l", "at", "v"])
 
-    sample = rows.where(hash_unit("i", "t") < share).select("t", "l").mapInArrow(run, "l string, at array<int>, v array<float>").limit(2 * ALL_ROWS).toArrow()
+    sample = rows.where(hash_unit("i", "t") < share).select("t", "l").mapInArrow(run, "l string, at array<int>, v array<float>").limit(2 * per_language * len(counts) + 1000).toArrow()
     languages = sorted(set(sample["l"].to_pylist()))
     # in an order of their own, whatever the order in which tasks ended
     found = sorted(((l.as_py(), at.values.to_numpy(), v.values.to_numpy()) for l, at, v in zip(sample["l"], sample["at"], sample["v"])), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
