@@ -33,6 +33,7 @@ HEAD, FOOT, KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<q")
 INDEX = np.dtype([("id", "<i8"), ("offset", "<u8"), ("tokens", "<u8")])
 #: The id that stands for null in a frame.
 NULL_ID = -(1 << 63)
+MANIFEST = "file string, number long, records long, tokens long, width long"
 
 
 def masked(data: bytes) -> int:
@@ -62,14 +63,19 @@ def read_frame(file, width: int) -> tuple[int, np.ndarray] | None:
     return KEY.unpack_from(body)[0], np.frombuffer(body, f"<u{width}", offset=KEY.size, count=(n - KEY.size) // width).astype("<u4")
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int | None = None, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` in ascending id order under ``path`` (a URI that all executors reach) and return the manifest.
 
-    The manifest has a row (file, number, records, tokens) for each data file, numbered in the order of ids. A
+    The manifest has a row (file, number, records, tokens, width) for each data file, numbered in the order of ids. A
     document's ids are its text's (null text: none) and then ``end_id``. Null ids come first. Repeated rows are
-    written each for themselves. An empty table gives an empty manifest.
+    written each for themselves. An empty table gives an empty manifest. A token takes ``width`` bytes: 2 or 4, by
+    the vocabulary where none is given; readers find it in the manifest.
     """
     spark = docs.sparkSession
+    largest = max(end_id, *tokens.load(tokenizer).get_vocab(with_added_tokens=True).values())
+    width = width or (2 if largest < 1 << 16 else 4)
+    if width not in (2, 4) or largest >= 1 << 8 * width:
+        raise ValueError(f"ids up to {largest} don't fit in {width} bytes")
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     # without a count given, the session's number of shuffle partitions
     ranged = (rows.repartitionByRange(partitions, "i") if partitions else rows.repartitionByRange("i")).sortWithinPartitions("i")
@@ -81,42 +87,44 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, w
         fs, root = pafs.FileSystem.from_uri(path)
         number = TaskContext.get().partitionId()
         name = f"part-{number:06d}-{uuid.uuid4().hex}"
-        data, total, index = None, 0, []
+        data, total, n = None, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 if data is None:
                     fs.create_dir(root, recursive=True)
-                    data = fs.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20)
+                    data, index = (fs.open_output_stream(f"{root}/{name}.{kind}", buffer_size=1 << 20) for kind in ("rec", "idx"))
                     place = 0
-                for key, (_, pieces) in zip(part.column(0).to_pylist(), bpe.many([t or "" for t in part.column(1).to_pylist()])):
-                    ids = np.append(np.frombuffer(b"".join(pieces), "<u4"), np.uint32(end_id))
+                entries = []
+                for key, ids in zip(part.column(0).to_pylist(), bpe.encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids = np.append(ids, np.uint32(end_id))
                     key = NULL_ID if key is None else key
                     record = frame(key, ids, width)
                     data.write(record)
-                    index.append((key, place, len(ids)))
+                    entries.append((key, place, len(ids)))
                     place += len(record)
                     total += len(ids)
+                index.write(np.array(entries, INDEX).tobytes())
+                n += len(entries)
         if data is not None:
             data.close()
-            with fs.open_output_stream(f"{root}/{name}.idx") as out:
-                out.write(np.array(index, INDEX).tobytes())
-            yield pa.RecordBatch.from_pydict({"file": [name], "number": [number], "records": [len(index)], "tokens": [total]})
+            index.close()
+            yield pa.RecordBatch.from_pydict({"file": [name], "number": [number], "records": [n], "tokens": [total], "width": [width]})
 
-    ranged.mapInArrow(run, "file string, number long, records long, tokens long").write.parquet(f"{path}/manifest")
-    return spark.read.schema("file string, number long, records long, tokens long").parquet(f"{path}/manifest")
+    ranged.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
-def read_records(spark: SparkSession, path: str, width: int = 2, id_col: str = "doc_id") -> DataFrame:
+def read_records(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) for each record of the table at ``path``, a file a task.
 
     ``start`` counts the ids of all records before this one in the order written; ``ids_crc32`` is that of the
     ids as little-endian 32-bit numbers. Every frame's checksums are checked.
     """
-    manifest = spark.read.schema("file string, number long, records long, tokens long").parquet(f"{path}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     # one row for each file: its first id's place in the whole
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("file", "number", before.alias("before"))
+    files = manifest.select("file", "number", "width", before.alias("before"))
     n = max(1, manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +133,7 @@ def read_records(spark: SparkSession, path: str, width: int = 2, id_col: str = "
             for f in batch.to_pylist():
                 start, out = f["before"], []
                 with fs.open_input_stream(f"{root}/{f['file']}.rec", buffer_size=1 << 20) as data:
-                    while (found := read_frame(data, width)) is not None:
+                    while (found := read_frame(data, f["width"])) is not None:
                         key, ids = found
                         out.append((None if key == NULL_ID else key, start, len(ids), zlib.crc32(ids.tobytes())))
                         start += len(ids)
