@@ -150,6 +150,14 @@ def test_records_round_trip(spark, docs, empty, tmp_path):
     (tmp_path / "out" / f"{f}.rec").write_bytes(bytes(raw))
     with pytest.raises(Exception, match="damaged"):
         records.read_records(spark, path).collect()
+    with pytest.raises(ValueError, match="2 bytes"):
+        records.write_records(docs, f"file://{tmp_path}/wide", BPE, end_id=70_000, width=2)
+    wide = f"file://{tmp_path}/wide"
+    records.write_records(docs, wide, BPE, end_id=70_000, partitions=2)  # four bytes
+    crc = lambda t: zlib.crc32(np.array([*library(BPE, t), 70_000], "<u4").tobytes())
+    assert sorted(r["ids_crc32"] for r in records.read_records(spark, wide).collect()) == sorted(crc(t) for _, t, *_ in awkward())
+    with pytest.raises(ValueError, match="white space"):
+        tokens.WordCounter(BPE)
     none = f"file://{tmp_path}/none"
     assert records.write_records(empty, none, BPE).count() == 0 and records.read_records(spark, none).count() == 0
 
@@ -176,6 +184,17 @@ def test_mix_draws_a_poisson_number(spark):
     assert abs(np.mean(n) - 40) < 0.5 and abs(np.var(n) - 40) < 4
 
 
+def test_mix_takes_nulls_and_repeats(docs):
+    """Null ids, texts and sources are rows like others, and repeated rows are drawn alike."""
+    rows = awkward()
+    n = {}
+    for r in mixing.mix(docs, size=6.0).collect():
+        n[r["doc_id"], r["text"]] = n.get((r["doc_id"], r["text"]), 0) + 1
+    assert set(n) <= {(i, t) for i, t, *_ in rows} and len(n) > len(rows) - 4
+    assert all(k % 2 == 0 for (i, _), k in n.items() if i == rows[-4][0])  # it stands twice
+    assert (None, "no id here") in n and (0, None) in n
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
@@ -217,6 +236,12 @@ def test_near_duplicates(docs, empty):
     assert kept.count() == len(set(label)) and set(kept.columns) == {*docs.columns, *CLASH}
 
 
+def test_fingerprint_of_a_long_text():
+    rng = random.Random(11)
+    text = " ".join(rng.choice(WORD) + str(rng.randrange(50)) for _ in range(70_000))  # more shingles than are hashed at once
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_links_of_large_groups(spark, monkeypatch):
     """Chains, dense groups over several tiles, and pairs just beyond the radius."""
     monkeypatch.setattr(simhash, "TILE", 16)
@@ -291,6 +316,8 @@ def test_approximate_neighbours(spark):
         assert [(-r["score"], r["vec_id"]) for r in found] == sorted((-r["score"], r["vec_id"]) for r in found)
     assert hits / (10 * len(by)) >= 0.9 and set(by) == {i for i in full if i % 9 == 0}
     assert ann.approximate_neighbours(df.limit(0), F.lit(True)).count() == 0
+    few = ann.approximate_neighbours(df.where("vec_id in (1, 2, 3)"), F.lit(True), k=10)
+    assert sorted((r["query_id"], r["rank"]) for r in few.collect()) == [(q, n) for q in (1, 2, 3) for n in (1, 2)]
 
 
 # ---------------------------------------------------------------- models
@@ -327,6 +354,72 @@ def test_language_held_out(spark, empty):
     assert kept.where("doc_id in (1000, 1001, 1002)").count() == 0 and kept.where("doc_id < 1000").count() == 240
 
 
+def plain_features(text):
+    raw = b" " + b" ".join(bytes(c if c > 127 or chr(c).isalpha() else 32 for c in text.lower().encode()).split()) + b" "
+    counts = {}
+    for size, salt in ((2, 0x5BD1E995), (3, 0), (4, 0x27D4EB2F)):
+        for n in range(len(raw) - size + 1):
+            at = ((int.from_bytes(raw[n : n + size], "little") ^ salt) * 2654435761 % (1 << 32)) >> 17
+            counts[at] = counts.get(at, 0) + 1
+    total = sum(counts.values()) ** 0.5
+    return {at: n**0.5 / total for at, n in counts.items()}
+
+
+def test_features_of_a_long_text():
+    rng = random.Random(12)
+    text = " ".join(rng.choice(TEXTS["fr"] + ["x1\n", "日本", "..."]) for _ in range(70_000))  # over one slice
+    got, want = langid.features(text), plain_features(text)
+    assert len(text) > langid.SLICE and set(np.flatnonzero(got)) == set(want) and all(abs(got[at] - v) < 1e-4 for at, v in want.items())
+
+
+def test_language_prediction_by_plain_loops(spark):
+    """Family by the largest margin, then a vote of the duels within it, on a fitted model."""
+    rows = corpus(160)
+    df = spark.createDataFrame([*rows, rows[0], (900, "hwxt qq licht maison", None, None, None)], DOCS)
+    model = langid.train(df)
+    sure = lambda m: 1 / (1 + np.exp(-2 * max(-30, min(30, m))))
+    for r in langid.predict(df, model).collect():
+        f = plain_features(next(t for i, t, *_ in [*rows, (900, "hwxt qq licht maison")] if i == r["doc_id"]))
+        margin = [sum(float(w[at]) * v for at, v in f.items()) + float(w[-1]) for w in model.weights]
+        families = margin[: len(model.families)]
+        best = max(range(len(families)), key=lambda n: families[n])
+        votes = {m: [0, 0.0] for m in model.members[best]}
+        duels = list(zip(model.pairs, margin[len(model.families) :]))
+        for (a, b), m in duels:
+            if a in votes:
+                won = votes[a if m > 0 else b]
+                won[0] += 1
+                won[1] += abs(m)
+        chosen = max(votes, key=lambda n: (votes[n], -n))
+        own = [m if a == chosen else -m for (a, b), m in duels if chosen in (a, b)]
+        assert r["lang_pred"] == model.languages[chosen]
+        assert abs(r["score"] - sure(families[best]) * (sure(min(own)) if own else 1)) < 1e-3
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than a few dozen, each with few rows."""
+    alphabets = {f"l{n:02}": "".join(random.Random(n).sample("abcdefghijklmnopqrstuvwxyz", 9)) for n in range(80)}
+    rng = random.Random(1)
+    rows = [(n * 100 + k, " ".join("".join(rng.choices(a, k=5)) for _ in range(30)), l, "s", 1) for n, (l, a) in enumerate(alphabets.items()) for k in range(4)]
+    assert langid.train(spark.createDataFrame(rows, DOCS), per_language=3).languages == sorted(alphabets)
+
+
+def test_toxicity_prediction_by_plain_loops(spark):
+    rng = random.Random(13)
+    texts = [" ".join([rng.choice(WORD) for _ in range(30)] + ["idiot"] * (n % 3 == 0) + ["|||"] * (n % 4 == 0)) for n in range(200)] + [None, "", "idiot " * 200_000]
+    docs = spark.createDataFrame([(n, t, None, None, None) for n, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(n, int(n % 4 > 0), int(n % 3 == 0)) for n in range(200)], "doc_id long, quality int, toxic int")
+    by = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    chain = toxicity.train(docs, labels, by)
+    for r in toxicity.predict(docs, chain, list(by)).collect():
+        found, earlier = {zlib.crc32(w.encode()) for w in toxicity.WORD.findall((texts[r["doc_id"]] or "").lower())}, []
+        for link in chain.links:
+            n = len(link.words)
+            z = float(link.w[-1]) + sum(float(link.w[k]) for k in range(n) if int(link.words[k]) in found) + sum(float(link.w[n + k]) * p for k, p in enumerate(earlier))
+            earlier.append(1 / (1 + np.exp(-max(-30, min(30, z)))))
+        assert [r["prob_low_quality"], r["prob_toxic"]] == pytest.approx(earlier, abs=1e-9) and r["toxic"] == (earlier[-1] >= chain.threshold)
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(10)
     rows, marks = [], []
