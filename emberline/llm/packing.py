@@ -1,7 +1,8 @@
 """Packing: order-preserving dynamic programming over window cuts.
 
 Rows keep the order in which they are read. Cuts may fall at a document's end (free), at a sentence's end (a
-small penalty) or at every ``GRID``-th token of a document (a larger one), the rows' end anywhere. A window
+small penalty) and, inside a sentence of over ``LONG`` tokens, at every ``GRID``-th of them (a larger one); the rows'
+end may be cut anywhere. A window
 costs its padding: what is missing to the window's size, nothing if its length is a power of two. With
 ``f[j]`` the least cost of all up to cut j at position p[j],
 
@@ -17,7 +18,6 @@ best path is fixed but for its last window, whose tokens stay for the next buffe
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,8 @@ from emberline.llm import tokens
 
 #: Tokens after which a task fixes the best path so far.
 BUFFER = 1 << 18
-#: Tokens between the places inside a document where it may be cut within a sentence.
-GRID = 64
+#: Tokens of a long sentence, and between the places where one may be cut.
+LONG, GRID = 64, 32
 
 
 def best_cuts(positions: list[int], penalties: list[float], window: int, least: int = 64) -> list[int]:
@@ -43,13 +43,14 @@ def best_cuts(positions: list[int], penalties: list[float], window: int, least:
     cost, back = [0.0] * n, [0] * n
     place = {p: i for i, p in enumerate(positions)}.get
     powers = [1 << k for k in range(window.bit_length()) if least <= 1 << k < window]
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (f[i] + p[i], p[i], i), ascending
+    # the queue: f[i] + p[i] ascending, p[i] and i beside it
+    sums, places, index, head, tail = [0.0] * n, [0] * n, [0] * n, 0, 1
     for j in range(1, n):
         p = positions[j]
-        while queue[0][1] < p - window:
-            queue.popleft()
-        g, _, i = queue[0]
-        best = g + window - p
+        while places[head] < p - window:
+            head += 1
+        i = index[head]
+        best = sums[head] + window - p
         for w in powers:
             k = place(p - w)
             if k is not None and cost[k] < best:
@@ -57,9 +58,10 @@ def best_cuts(positions: list[int], penalties: list[float], window: int, least:
         best += penalties[j]
         cost[j], back[j] = best, i
         g = best + p
-        while queue and queue[-1][0] > g:
-            queue.pop()
-        queue.append((g, p, j))
+        while tail > head and sums[tail - 1] > g:
+            tail -= 1
+        sums[tail], places[tail], index[tail] = g, p, j
+        tail += 1
     out, j = [], n - 1
     while j:
         out.append(positions[j])
@@ -67,14 +69,9 @@ def best_cuts(positions: list[int], penalties: list[float], window: int, least:
     return out[::-1]
 
 
-def sentence_ends(bpe: tokens.ByteBpe, words: list[str], pieces: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """How many of a text's ids stand up to the end of each of its sentences: pieces that end in a full stop, ! or ?."""
-    last = np.frombuffer("".join([w[-1:] or " " for w in words]).encode("utf-32-le"), "<u4")
-    at = np.flatnonzero((last == 46) | (last == 33) | (last == 63))
-    after = np.flatnonzero(bpe.starts[ids])  # each piece but the first begins with its space
-    if len(after) == len(words) - 1:
-        return np.append(after, len(ids))[at]
-    return np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))[at] // 4
+def sentence_ends(bpe: tokens.ByteBpe, ids: np.ndarray) -> np.ndarray:
+    """How many of a text's ids stand up to the end of each of its sentences but the text's own: after a full stop, ! or ? that white space follows."""
+    return np.flatnonzero(bpe.stops[ids[:-1]] & bpe.blanks[ids[1:]]) + 1
 
 
 class _Packer:
@@ -82,33 +79,47 @@ class _Packer:
         self.window, self.sentence, self.hard, self.sequence = window, sentence, hard, first
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple[object, int, int, int]] = []  # id, its ids before, ids here, ids in all
-        self.cuts: list[tuple[np.ndarray, float]] = []  # places and their penalty
+        # places where the buffer may be cut, by their penalty: within a document split by buffers, at sentences' and at documents' ends
+        self.splits: list[int] = []
+        self.sentences: list[np.ndarray] = []
+        self.ends: list[int] = []
         self.size = 0
 
     def add(self, doc, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
         at, n = 0, len(ids)
         while at < n:  # a document longer than the buffer goes in by parts
             step = min(n - at, BUFFER)
-            self.cuts.append((ends[(ends > at) & (ends < at + step)] + (self.size - at), self.sentence))
-            self.cuts.append((np.arange(at // GRID * GRID + GRID, at + step, GRID) + (self.size - at), self.hard))
+            inner = ends if step == n else ends[(ends > at) & (ends < at + step)] - at
+            self.sentences.append(inner + self.size)
             self.docs.append((doc, at, step, n))
             self.ids.append(ids[at : at + step])
             self.size += step
             at += step
-            self.cuts.append((np.array([self.size]), 0.0 if at == n else self.hard))
+            (self.ends if at == n else self.splits).append(self.size)
             if self.size >= BUFFER:
                 yield from self.flush(False)
 
+    def places(self, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where the buffer may be cut, ascending, and the penalties."""
+        self.sentences = [np.concatenate(self.sentences)]
+        hard = [np.array(self.splits, np.int64)]
+        if last:  # the end may be cut anywhere, so that the rows' last windows need no padding
+            hard.append(np.arange(max(1, self.size - 2 * self.window), self.size))
+        known = np.unique(np.concatenate((np.array([0, *self.ends]), *self.sentences, *hard)))
+        step = min(GRID, self.window)
+        for i in np.flatnonzero(np.diff(known) > min(LONG, self.window)).tolist():
+            hard.append(np.arange(known[i] + step, known[i + 1], step))
+        # each place once, with the least of its penalties
+        penalty = np.full(self.size + 1, np.inf)
+        for places, cost in ((np.concatenate(hard), self.hard), (self.sentences[0], self.sentence), (np.array(self.ends, np.int64), 0.0)):
+            penalty[places] = cost
+        places = np.flatnonzero(penalty < np.inf)
+        return places, penalty[places]
+
     def flush(self, last: bool) -> Iterator[tuple]:
         if not self.size:
             return
-        if last:  # the end may be cut anywhere, so that the rows' last windows need no padding
-            self.cuts.append((np.arange(max(1, self.size - 2 * self.window), self.size), self.hard))
-        places = np.concatenate([p for p, _ in self.cuts])
-        costs = np.repeat([c for _, c in self.cuts], [len(p) for p, _ in self.cuts])
-        order = np.lexsort((costs, places))
-        places, first = np.unique(places[order], return_index=True)
-        costs = costs[order][first]
+        places, costs = self.places(last)
         ends = best_cuts([0, *places.tolist()], [0.0, *costs.tolist()], self.window, 1 if last else 64)
         if not last:
             ends.pop()  # the last window is still open
@@ -131,8 +142,8 @@ class _Packer:
             doc, before, here, total = rest[0]
             rest[0] = (doc, before + done, here - done, total)
         self.ids, self.docs = ([ids[start:]] if start < self.size else []), rest
-        left = places > start
-        self.cuts = [(places[left & (costs == c)] - start, float(c)) for c in np.unique(costs[left])]
+        self.sentences = [x[x > start] - start for x in self.sentences]
+        self.splits, self.ends = ([x - start for x in some if x > start] for some in (self.splits, self.ends))
         self.size -= start
 
 
@@ -154,9 +165,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
             out: list[tuple] = []
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc, (words, pieces) in zip(part.column(0).to_pylist(), bpe.many([t or "" for t in part.column(1).to_pylist()])):
-                    ids = np.frombuffer(b"".join(pieces), "<u4")
-                    out += packer.add(doc, np.concatenate((ids, end)), sentence_ends(bpe, words, pieces, ids))
+                for doc, ids in zip(part.column(0).to_pylist(), bpe.encode([t or "" for t in part.column(1).to_pylist()])):
+                    out += packer.add(doc, np.append(ids, end), sentence_ends(bpe, ids))
             yield table(out)
         yield table(list(packer.flush(True)))
 

@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 #: Characters after which a long text is next cut at a safe boundary.
 CHUNK_CHARS = 1 << 20
 #: Entries of one memo generation.
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 800_000
 #: Pieces that the library encodes in one text.
 LEARN = 128
 
@@ -30,7 +30,7 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)(?:\n([A-Za-zÀ-ÖØ-öø-
 #: The signs that byte-level vocabularies write for bytes: printable Latin-1 for itself, the others from 256 on.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = dict(zip([b for b in range(256) if b not in SHOWN], range(256, 512)))
-SPACE = chr(BYTE_SIGNS[32])
+SPACE, BLANKS = chr(BYTE_SIGNS[32]), tuple(chr(BYTE_SIGNS[b]) for b in b" \t\n\x0b\x0c\r")
 
 
 def load(path: str):
@@ -96,10 +96,10 @@ class ByteBpe:
         self.t = load(path)
         self.model = self.t.model.tokenize
         vocab = self.t.get_vocab(with_added_tokens=True)
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        # of each id: whether it begins with a space, begins with white space, ends in a full stop, ! or ?
+        self.starts, self.blanks, self.stops = (np.zeros(max(vocab.values()) + 1, bool) for _ in range(3))
         for s, i in vocab.items():
-            if s.startswith(SPACE):
-                self.starts[i] = True
+            self.starts[i], self.blanks[i], self.stops[i] = s.startswith(SPACE), s.startswith(BLANKS), s.endswith((".", "!", "?"))
         self.memo = Memo()  # by the piece without its leading space
         self.ends = {c: x.tobytes() for c, x in zip(".,\n", self._ids([".", ",", "\n"]))}
 
@@ -136,9 +136,9 @@ class ByteBpe:
                 continue
             if m := match(p):
                 word, end, line, line_end = m.groups()
-                v = memo.get(word) if end or line else None
+                v = (memo.get(word) or memo.promote(word)) if end or line else None
                 if v is None:
-                    v = self._word(SPACE, word)
+                    v = memo[word] = self._word(SPACE, word)
                 if end:
                     v += self.ends[end]
                 if line:
@@ -151,34 +151,22 @@ class ByteBpe:
         if rest:
             self._learn(rest)
 
-    def many(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
-        """For each text its pieces (without their leading spaces) and their ids as little-endian 32-bit bytes."""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text its ids as little-endian 32-bit numbers."""
         group: list[str] = []
         chars = 0
         for t in texts:
-            if len(t) > CHUNK_CHARS:
+            if group and chars + len(t) > CHUNK_CHARS:
                 yield from self._group(group)
                 group, chars = [], 0
-                yield self._long(t)
+            if len(t) > CHUNK_CHARS:
+                yield np.concatenate([ids for chunk in safe_chunks(t) for ids in self._group([chunk])])
                 continue
-            if chars + len(t) > CHUNK_CHARS:
-                yield from self._group(group)
-                group, chars = [], 0
             group.append(t)
             chars += len(t)
         yield from self._group(group)
 
-    def _long(self, text: str) -> tuple[list[str], list[bytes]]:
-        words: list[str] = []
-        out: list[bytes] = []
-        for n, chunk in enumerate(safe_chunks(text)):
-            # a later chunk begins with its space; behind an empty first piece every other piece is led by one
-            [(w, o)] = self._group([chunk])
-            words += w[n > 0 :]
-            out += o[n > 0 :]
-        return words, out
-
-    def _group(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:
             return
         memo = self.memo
@@ -189,21 +177,26 @@ class ByteBpe:
             flat += t.split(" ")
             ends.append(len(flat))
         got = list(map(memo.get, flat))
+        odd = []
         if miss := [i for i, v in enumerate(got) if v is None]:
             self._meet({flat[i] for i in miss})
             for i in miss:
-                got[i] = memo.get(flat[i])
+                v = got[i] = memo.get(flat[i])
+                if v is None:
+                    odd.append(i)
         starts = [0, *ends[:-1]]
         firsts = self._ids([flat[a] for a in starts])
-        for a, b, first in zip(starts, ends, firsts):
-            words, out = flat[a:b], got[a:b]
-            out[0] = first.tobytes()
-            # a led chunk begins with an empty piece: then only the rest counts
-            if None in out or (words[0] and len(words) > 1 and not _visible(words[0][-1])) or (not words[0] and len(words) > 1):
-                words, out = self._odd(words)
-            yield words, out
-
-    def _odd(self, parts: list[str]) -> tuple[list[str], list[bytes]]:
+        # a text's first piece has no space before it and is always encoded here
+        bad = set(np.searchsorted(ends, [i for i in odd], side="right").tolist()) if odd else ()
+        for n, (a, b, first) in enumerate(zip(starts, ends, firsts)):
+            # a led chunk begins with an empty piece
+            if n in bad and None in got[a + 1 : b] or b - a > 1 and not (flat[a] and _visible(flat[a][-1])):
+                yield np.frombuffer(b"".join(self._odd(flat[a:b])), "<u4")
+            else:
+                got[a] = first.tobytes()
+                yield np.frombuffer(b"".join(got[a:b]), "<u4")
+
+    def _odd(self, parts: list[str]) -> list[bytes]:
         led = not parts[0] and len(parts) > 1 and bool(parts[1]) and _visible(parts[1][0])
         pieces = list(safe_pieces(parts[1:], True) if led else safe_pieces(parts, False))
         plain = lambda p, s: s and " " not in p and p and _visible(p[0]) and _visible(p[-1])
@@ -212,12 +205,7 @@ class ByteBpe:
             self._learn(new)
         rest = [(" " if s else "") + p for p, s in pieces if not plain(p, s)]
         ids = iter(self._ids(rest)) if rest else iter(())
-        words, out = [p for p, _ in pieces], [memo[p] if plain(p, s) else next(ids).tobytes() for p, s in pieces]
-        return (["", *words], [b"", *out]) if led else (words, out)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for _, out in self.many(texts):
-            yield np.frombuffer(b"".join(out), "<u4")
+        return [memo[p] if plain(p, s) else next(ids).tobytes() for p, s in pieces]
 
 
 class WordCounter:
@@ -227,6 +215,10 @@ class WordCounter:
 
     def __init__(self, path: str):
         self.t = load(path)
+        if joined := [s for s in self.t.get_vocab(with_added_tokens=True) if any(c.isspace() for c in s)]:
+            raise ValueError(f"tokens of this vocabulary hold white space, so texts can't be counted by words: {joined[0]!r}")
+        if [e.ids for e in self.t.encode_batch(["a  b\nc", "a b c"], add_special_tokens=False)] != [self.t.encode(x, add_special_tokens=False).ids for x in ("a b c", "a\tb c")]:
+            raise ValueError("white space changes this vocabulary's tokens, so texts can't be counted by words")
         mark = self.t.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.memo = Memo()
