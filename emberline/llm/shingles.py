@@ -2,8 +2,10 @@
 
 Candidates are texts that share one of ``BANDS`` keys of ``DEEP`` least hashes each: at similarity s a pair shares
 none with probability (1 - s^DEEP)^BANDS, 2.7e-5 at 0.8. Every link is then checked on the whole shingle sets.
-Texts of a key are first compared with the least of them; only pairs that this leaves in different components
-are compared with one another, so a large group of near copies costs a link a text.
+Texts of a key are first compared with the least of them, so a large group of near copies costs a pair a text. Keys
+that this leaves with several components are joined to clusters of texts that share keys; in each, the texts outside
+its largest component are compared with all, by tiles: a task counts the shingles that two tiles have in common by a
+product of matrices and returns no more links than it needs to join the components that it has found to touch.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from emberline.llm import simhash
 from emberline.llm.common import fresh, materialise
 
 BANDS, DEEP = 20, 4
+#: Texts of a tile; shingles of one product of matrices.
+TILE, COLUMNS = 256, 4096
 #: Shingles hashed at once.
 SLICE = 4096
 _DRAWN = np.random.default_rng(17).integers(0, 1 << 64, (3, BANDS * DEEP), np.uint64)
@@ -66,6 +70,78 @@ def checked(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -
     return both.mapInArrow(run, "u long, v long")
 
 
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of ``a`` shares with each of ``b``, by products of 0/1 matrices over the hashes that both sides have."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    # of each side the texts and places of its hashes that count, in the order of the places
+    sides = []
+    for texts in (a, b):
+        every = np.concatenate(texts)
+        at = np.searchsorted(both, every)
+        hit = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == every) if len(both) else at[:0]
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[order], at[hit][order]))
+    for low in range(0, len(both), COLUMNS):
+        x, y = (np.zeros((len(t), COLUMNS), np.float32) for t in (a, b))
+        for m, (row, at) in zip((x, y), sides):
+            i, j = np.searchsorted(at, (low, low + COLUMNS))
+            m[row[i:j], at[i:j] - low] = 1
+        out += x @ y.T
+    return out
+
+
+def joined(rest: list[tuple[int, int, np.ndarray]], every: list[tuple[int, int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Links (key, key) between texts (key, component, shingles) of different components that are alike enough: a spanning forest of the components."""
+    a, b = ([x for _, _, x in side] for side in (rest, every))
+    shared = common(a, b).astype(float)
+    size = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - shared
+    own, other = (np.array([c for _, c, _ in side]) for side in (rest, every))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero((shared / np.maximum(1, size) >= similarity) & (own[:, None] != other[None, :]))):
+        x, y = find(rest[i][1]), find(every[j][1])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((rest[i][0], every[j][0]))
+    return out
+
+
+def touching(left: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(u, v): links that join the components of ``left`` (band, key, k, c), the texts of keys with several components."""
+    least = left.groupBy("band", "key").agg(F.min("k").alias("u"))
+    cluster = simhash.components(left.join(least, ["band", "key"]).where("k <> u").select("u", F.col("k").alias("v")), "shingle-clusters")
+    member = materialise(left.select("k", "c").distinct().join(cluster, F.col("k") == F.col("node")).select(F.col("label").alias("g"), "k", "c"), "shingle-members")
+    parts = member.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
+    tiles = sizes.select("g", "main", F.ceil(F.col("size") / TILE).cast("int").alias("bs"), F.ceil((F.col("size") - F.col("most")) / TILE).cast("int").alias("as"))
+    some = materialise(texts.join(member.select("k"), "k", "left_semi").dropDuplicates(["k"]), "shingle-texts")
+    rows = member.join(tiles, "g").join(some, "k")
+    place = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    every = rows.select("g", F.explode(upto("as")).alias("a"), place("bs").alias("b"), F.lit(False).alias("outside"), "k", "c", "t")
+    rest = rows.where("c <> main").select("g", place("as").alias("a"), F.explode(upto("bs")).alias("b"), F.lit(True).alias("outside"), "k", "c", "t")
+
+    def run(group: pa.Table) -> pa.Table:
+        held: dict[int, np.ndarray] = {}
+        sides: tuple[list, list] = ([], [])
+        for outside, k, c, t in zip(*(group[n].to_pylist() for n in ("outside", "k", "c")), group["t"]):
+            if k not in held:
+                held[k] = shingles(t.as_py(), words)
+            sides[not outside].append((k, c, held[k]))
+        found = joined(*sides, similarity) if all(sides) else []
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return every.unionByName(rest).groupBy("g", "a", "b").applyInArrow(run, "u long, v long")
+
+
 def components(texts: DataFrame, known: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """(node, label) of the keys of ``texts`` (k, t) that have a near-duplicate: the least key that links lead to, the links ``known`` (u, v) too."""
 
@@ -84,8 +160,7 @@ def components(texts: DataFrame, known: DataFrame, similarity: float = 0.8, word
     held = shared.join(label, F.col("k") == F.col("node"), "left").select("band", "key", "k", F.coalesce("label", "k").alias("c"))
     open_ = held.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "key")
     left = materialise(held.join(open_, ["band", "key"]), "shingle-open")
-    pairs = left.alias("a").join(left.alias("b"), ["band", "key"]).where("a.k < b.k and a.c <> b.c").select(F.col("a.k").alias("u"), F.col("b.k").alias("v"))
-    more = checked(pairs.distinct().join(links, ["u", "v"], "left_anti"), texts, similarity, words)
+    more = materialise(touching(left, texts, similarity, words), "shingle-more")
     return simhash.components(links.union(known).union(more), "shingle-all")
 
 

@@ -3,16 +3,21 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 
 def sets(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def test_stage_finds_edited_copies(spark):
+@pytest.mark.parametrize("tile", [256, 5])
+def test_stage_finds_edited_copies(spark, tile, monkeypatch):
     import corpus_pipeline
-    from emberline.llm import simhash
+    from emberline.llm import shingles, simhash
 
+    monkeypatch.setattr(shingles, "TILE", tile)
     rng = random.Random(8)
     vocabulary = [f"word{n}" for n in range(400)]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(60, 200))) for _ in range(40)]
@@ -47,3 +52,12 @@ def test_stage_finds_edited_copies(spark):
     want = {n for n in range(len(texts)) if find(n) == n}
     assert len(want) < len(texts) - 60
     assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_common_counts(monkeypatch):
+    from emberline.llm import shingles
+
+    monkeypatch.setattr(shingles, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((3, 40, 25, 1), (10, 50)))
+    assert shingles.common(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
