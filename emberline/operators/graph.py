@@ -190,17 +190,33 @@ def longest_levels(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame
 def tiers(nodes: DataFrame, edges: DataFrame, user_facing: DataFrame) -> DataFrame:
     """(node, tier): the longest way from a user-facing service; services above known ones lie one further; the rest last.
 
-    On a cycle a way may have as many edges as there are nodes, no more.
+    On a cycle a way may have as many edges as there are nodes, no more. Services above are taken in passes in the
+    services' order (``seq`` of ``nodes``, else their names), and one sees what was found before it in the same pass:
+    it joins in the first pass in which it knows a dependency, and lies one beyond the furthest that it knows then.
     """
     e = cut(known_edges(nodes, edges))
-    n = nodes.count()
-    known = longest_levels(e, user_facing, n)
+    below = longest_levels(e, user_facing, nodes.count())
+    order = nodes.select("node", (F.col("seq") if "seq" in nodes.columns else F.col("node")).alias("seq"))
+    a, b = order.toDF("src", "sa"), order.toDF("dst", "sb")
+    up = cut(e.join(a, "src").join(b, "dst").join(below.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", "sa", "sb"))
+    # the pass in which each joins: that of the first dependency known, or the next one if it comes later in the order
+    found = cut(below.select("node", F.lit(0).alias("pass")))
+    front = found
     while True:
-        above = e.join(known, F.col("dst") == F.col("node")).join(known.select(F.col("node").alias("src")), "src", "left_anti")
-        above = cut(above.groupBy(F.col("src").alias("node")).agg((F.max("level") + 1).alias("level")))
-        if above.isEmpty():
+        step = up.join(front, F.col("dst") == F.col("node")).groupBy("src").agg(F.min(F.when(F.col("pass") == 0, 1).otherwise(F.col("pass") + (F.col("sb") > F.col("sa")).cast("int"))).alias("new"))
+        better = step.join(found, F.col("src") == F.col("node"), "left").where("pass is null or new < pass").select(F.col("src").alias("node"), F.col("new").alias("pass"))
+        if (front := cut(better)).isEmpty():
             break
-        known = cut(known.union(above))
+        found = cut(found.unionByName(front).groupBy("node").agg(F.min("pass").alias("pass")))
+    x, y = found.toDF("src", "px"), found.toDF("dst", "py")
+    seen = cut(up.join(x, "src").join(y, "dst").where(F.struct("py", "sb") < F.struct("px", "sa")).select("src", "dst").union(up.join(x, "src").join(y.where("py = 0"), "dst").select("src", "dst")).distinct())
+    known, front = below, below
+    while True:
+        step = seen.join(front, F.col("dst") == F.col("node")).groupBy("src").agg((F.max("level") + 1).alias("new"))
+        more = step.join(known, F.col("src") == F.col("node"), "left").where("level is null or new > level").select(F.col("src").alias("node"), F.col("new").alias("level"))
+        if (front := cut(more)).isEmpty():
+            break
+        known = cut(known.unionByName(front).groupBy("node").agg(F.max("level").alias("level")))
     last = known.agg((F.coalesce(F.max("level"), F.lit(0)) + 1).alias("last"))
     return nodes.join(known, "node", "left").join(F.broadcast(last)).select("node", F.coalesce("level", "last").alias("tier"))
 

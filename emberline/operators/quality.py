@@ -17,7 +17,7 @@ def gate(rows: DataFrame, services: DataFrame, base, step: float = 45, longest:
     """
     known = services.select("incident_key", F.col("service").alias("source")).distinct().withColumn("declared", F.lit(True))
     kind = F.coalesce(F.nullif("source_type", F.lit("")), F.lit("log"))
-    ident = F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("synth-"), F.lpad(F.col("pos").cast("string"), 3, "0")))
+    ident = F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("synth-"), F.when(F.col("pos") < 1000, F.lpad(F.col("pos").cast("string"), 3, "0")).otherwise(F.col("pos").cast("string"))))
     out = rows.join(known, ["incident_key", "source"], "left").withColumns({"kind": kind, "ident": ident})
     reason = F.when(F.col("declared").isNull(), F.concat("ident", F.lit(": source '"), F.coalesce("source", F.lit("None")), F.lit("' is not a declared service"))).when(
         ~F.col("kind").isin(SOURCE_TYPES), F.concat("ident", F.lit(": source_type '"), "kind", F.lit(f"' is not one of {', '.join(SOURCE_TYPES)}"))

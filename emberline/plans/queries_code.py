@@ -197,13 +197,13 @@ def f4_failing_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.failing_module(rows.agg(F.max(F.col("l_linenumber") % 4).alias("evidence"), F.sum("l_quantity").cast("long").alias("loc"), F.min("l_suppkey").alias("seq")), "k")
 
 
-S.STEPS["candidates"] = "SELECT l_orderkey % 50 AS k, CASE l_suppkey % 7 WHEN 0 THEN '__init__' WHEN 1 THEN '__call__' WHEN 2 THEN 'run_' || l_suppkey ELSE 's' || l_suppkey END AS name, l_suppkey AS seq, count(*) AS callers, count(*) FILTER (l_returnflag = 'R') AS outside, max(l_linenumber) AS loc FROM lineitem GROUP BY ALL"
+S.STEPS["candidates"] = "SELECT l_orderkey % 50 AS k, CASE l_suppkey % 7 WHEN 0 THEN '__init__' WHEN 1 THEN '__call__' WHEN 2 THEN 'plain_' || l_suppkey WHEN 3 THEN 're_Build_' || l_suppkey ELSE 's' || l_suppkey END AS name, CASE l_suppkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'async-method' ELSE 'function' END AS kind, l_suppkey AS seq, count(*) FILTER (l_returnflag = 'R') AS outside, max(l_linenumber) AS loc FROM lineitem GROUP BY ALL"
 
 
-@query("SELECT k, name, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY outside > 0 DESC, regexp_matches(name, '^(__call__|run|handle|process|invoke|execute|main)') DESC, callers DESC, loc DESC, seq) AS n FROM candidates WHERE name <> '__init__') WHERE n = 1")
+@query("SELECT k, name, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY outside > 0 DESC, regexp_matches(lower(name), '(^|_)(get|build|create|make|invoke|call|run|complete|generate|resolve|load|connect|request|send|query|predict|chat|fetch|init|open|execute|dispatch)') DESC, outside DESC, loc DESC, seq) AS n FROM candidates WHERE kind <> 'class' AND (name = '__call__' OR NOT starts_with(name, '__'))) WHERE n = 1")
 def f5_failing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("l_suppkey")
-    name = F.when(s % 7 == 0, "__init__").when(s % 7 == 1, "__call__").when(s % 7 == 2, F.concat(F.lit("run_"), s.cast("string"))).otherwise(F.concat(F.lit("s"), s.cast("string")))
-    rows = adapters.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("k"), name.alias("name"), s.alias("seq"))
-    rows = rows.agg(F.count(F.lit(1)).alias("callers"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("outside"), F.max("l_linenumber").alias("loc"))
+    name = F.when(s % 7 == 0, "__init__").when(s % 7 == 1, "__call__").when(s % 7 == 2, F.concat(F.lit("plain_"), s.cast("string"))).when(s % 7 == 3, F.concat(F.lit("re_Build_"), s.cast("string"))).otherwise(F.concat(F.lit("s"), s.cast("string")))
+    rows = adapters.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("k"), name.alias("name"), F.when(s % 5 == 0, "class").when(s % 5 == 1, "async-method").otherwise("function").alias("kind"), s.alias("seq"))
+    rows = rows.agg(F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("outside"), F.max("l_linenumber").alias("loc"))
     return code.failing_symbol(rows, "k").select("k", "name", "seq")

@@ -87,7 +87,7 @@ S.STEPS["gated"] = """SELECT incident_key, pos, ident AS id, kind AS source_type
   CASE WHEN timestamp = 'soon' THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(45 * pos) ELSE CAST(replace(timestamp, 'Z', '') AS TIMESTAMP) END AS ts, substr(trim(coalesce(detail, '')), 1, 600) AS detail,
   CASE WHEN source NOT IN (SELECT service FROM services) THEN ident || ': source ''' || source || ''' is not a declared service'
     WHEN kind NOT IN ('architecture', 'deployment', 'log', 'metric') THEN ident || ': source_type ''' || kind || ''' is not one of architecture, deployment, log, metric' END AS reason
-  FROM (SELECT *, coalesce(nullif(id, ''), 'synth-' || CASE WHEN pos < 1000 THEN lpad(CAST(pos AS VARCHAR), 3, '0') ELSE substr(CAST(pos AS VARCHAR), 1, 3) END) AS ident, coalesce(nullif(source_type, ''), 'log') AS kind FROM payload)"""
+  FROM (SELECT *, coalesce(nullif(id, ''), 'synth-' || CASE WHEN pos < 1000 THEN lpad(CAST(pos AS VARCHAR), 3, '0') ELSE CAST(pos AS VARCHAR) END) AS ident, coalesce(nullif(source_type, ''), 'log') AS kind FROM payload)"""
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:

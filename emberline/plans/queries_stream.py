@@ -44,3 +44,12 @@ def i4_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.telemetry(spark, sf_dir)
     first = watch.newest(None, rows.where("seq % 2 = 1"), 30)
     return watch.newest(first, rows.where("seq % 2 = 0"), 30).select("source", "id")
+
+
+@query("""SELECT source, id FROM (SELECT t.source, t.id, row_number() OVER (PARTITION BY t.source ORDER BY t.ts DESC, t.seq DESC) AS n FROM telemetry t
+  JOIN (SELECT source, max(ts) FILTER (level = 'ERROR') AS at FROM telemetry GROUP BY source) x ON x.source = t.source AND t.ts <= x.at + INTERVAL 5 SECOND) WHERE n <= 40""")
+def i3_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each service has logged by five seconds after its last error, the newest forty."""
+    rows = adapters.telemetry(spark, sf_dir)
+    last = error_times(rows).groupBy("key").agg(F.max("at").alias("at"))
+    return watch.settled(rows.withColumn("key", F.col("source")), last, 5, 40).select("source", "id")

@@ -29,15 +29,19 @@ def read_log_stream(spark: SparkSession, path: str, service: str) -> DataFrame:
     return L.parsed(raw, "value").where("p is not null").select(F.lit(service).alias("service"), "p.*")
 
 
-def burst_fold(times: list[float], state: tuple[list[float], float], count: int, window: float, cooldown: float) -> tuple[list[tuple[float, int]], tuple[list[float], float]]:
-    """Trips among ascending error times: ``count`` within ``window`` seconds (both ends in), then rest for ``cooldown`` and start anew."""
+def burst_fold(times: list[float], state: tuple[list[float], float], count: int, window: float, cooldown: float, real: list[bool] | None = None) -> tuple[list[tuple[float, int]], tuple[list[float], float]]:
+    """Trips among ascending error times: ``count`` within ``window`` seconds (both ends in), then rest for ``cooldown`` and start anew.
+
+    ``real`` tells of each time whether an analysis then finds an incident; where it finds none there is no trip, no
+    rest, and the errors held still count.
+    """
     held, until = deque(state[0]), state[1]
     out = []
-    for t in times:
+    for n, t in enumerate(times):
         held.append(t)
         while held and t - held[0] > window:
             held.popleft()
-        if len(held) >= count and t >= until:
+        if len(held) >= count and t >= until and (real is None or real[n]):
             out.append((t, len(held)))
             held.clear()
             until = t + cooldown
@@ -48,7 +52,8 @@ def trips(errors: DataFrame, count: int = 3, window: float = 90, cooldown: float
     """(key, at, errors) of a batch or stream of errors (key, at: seconds).
 
     On a stream each key's state is its errors of the last window and the end of its rest. Times are those of the
-    rows; rows of one micro-batch are taken in order, later batches are not reordered against earlier ones.
+    rows; rows of one micro-batch are taken in order, later batches are not reordered against earlier ones. A batch may
+    also have the column ``real``: whether an incident is found at that time; without one there is no rest.
     """
 
     def frame(key: str, found: list[tuple[float, int]]) -> pd.DataFrame:
@@ -56,7 +61,8 @@ def trips(errors: DataFrame, count: int = 3, window: float = 90, cooldown: float
 
     if not errors.isStreaming:
         # sorted parts of one key come in batches, so that no key is held whole
-        dealt = errors.select("key", "at").repartition("key").sortWithinPartitions("key", "at")
+        told = F.coalesce("real", F.lit(False)) if "real" in errors.columns else F.lit(True)
+        dealt = errors.select("key", "at", told.alias("real")).repartition("key").sortWithinPartitions("key", "at")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last, state = None, ([], float("-inf"))
@@ -64,7 +70,7 @@ def trips(errors: DataFrame, count: int = 3, window: float = 90, cooldown: float
                 for key, part in batch.groupby("key", sort=False):
                     if key != last:
                         last, state = key, ([], float("-inf"))
-                    found, state = burst_fold(part["at"].tolist(), state, count, window, cooldown)
+                    found, state = burst_fold(part["at"].tolist(), state, count, window, cooldown, part["real"].tolist())
                     yield frame(key, found)
 
         return dealt.mapInPandas(run, TRIPS)
@@ -86,39 +92,77 @@ def newest(buffer: DataFrame | None, fresh: DataFrame, most: int = 1200, key: st
     return rows.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= most).drop("n_")
 
 
+def settled(events: DataFrame, tripped: DataFrame, settle: float = 5, most: int = 1200, block: float = 3600) -> DataFrame:
+    """(key, at, events' columns): for each trip the newest ``most`` events of its key once the burst has settled, ``settle`` seconds after the trip.
+
+    ``events`` has key, ts (a time), seq and others; ``tripped`` has key and at (seconds). Events are numbered in
+    blocks of ``block`` seconds, so that no key's events meet in one task, and a trip meets the blocks of numbers that it needs.
+    """
+    at = lambda ts: F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    rows = events.select("key", at("ts").alias("t"), "seq", F.lit(0).alias("trip"), F.struct(*(c for c in events.columns if c != "key")).alias("row"), F.lit(None).cast("double").alias("at"))
+    asked = tripped.select("key", (F.col("at") + settle).alias("t"), F.lit(None).cast("long").alias("seq"), F.lit(1).alias("trip"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "at").distinct()
+    every = rows.unionByName(asked).withColumn("b", F.floor(F.col("t") / block))
+    sums = every.groupBy("key", "b").agg(F.sum(1 - F.col("trip")).alias("n"))
+    w = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("key", "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    here = Window.partitionBy("key", "b").orderBy("t", "trip", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.join(sums, ["key", "b"]).withColumn("n", F.col("before") + F.sum(1 - F.col("trip")).over(here))
+    own = placed.where("trip = 0").select("key", F.floor((F.col("n") - 1) / most).alias("part"), "n", "row")
+    last = F.floor((F.col("n") - 1) / most)
+    want = placed.where("trip = 1 and n > 0").select("key", "at", F.col("n").alias("upto"), F.explode(F.array(last, last - 1)).alias("part"))
+    return own.join(want, ["key", "part"]).where((F.col("n") <= F.col("upto")) & (F.col("n") > F.col("upto") - most)).select("key", "at", "row.*")
+
+
 def quota(calls: DataFrame, per_hour: int = 10, per_day: int = 200) -> DataFrame:
     """Calls (client, at: seconds, seq) with ``accepted``: at most so many of a client within a sliding hour, and so many of all in a day.
 
-    A refused call does not count. The first fold is by client, the second ranks what it let through by day; a
-    call that only the day refuses still counts for its client's hour.
+    A refused call does not count, whichever cap refuses it. Days are folded apart, each in the order of its calls,
+    with what the day before had accepted in its last hour; the fold is repeated until that no longer changes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, hits = None, deque()
+        today, spent, hits = None, 0, {}
         for batch in batches:
             passed = []
-            for client, at in zip(batch["client"], batch["at"]):
-                if client != last:
-                    last, hits = client, deque()
-                while hits and at - hits[0] > 3600:
-                    hits.popleft()
-                passed.append(len(hits) < per_hour)
+            for day, client, at, carried in zip(batch["day"], batch["client"], batch["at"], batch["carried"]):
+                if day != today:
+                    today, spent, hits = day, 0, {}
+                own = hits.setdefault(client, deque())
+                while own and at - own[0] > 3600:
+                    own.popleft()
+                passed.append(bool(carried) or (len(own) < per_hour and spent < per_day))
                 if passed[-1]:
-                    hits.append(at)
-            yield batch.assign(passed=passed)
-
-    by_client = calls.select("client", "at", "seq").repartition("client").sortWithinPartitions("client", "at", "seq").mapInPandas(run, "client long, at double, seq long, passed boolean")
-    day = F.floor(F.col("at") / 86400)
-    # the nth call of a day is refused for n over the cap: only the first ones of each day need a place
-    w = Window.partitionBy(day).orderBy("at", "seq")
-    first = by_client.where("passed").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_day).select("client", "seq", F.lit(True).alias("ok"))
-    return by_client.join(first, ["client", "seq"], "left").select("client", "at", "seq", F.coalesce("ok", F.lit(False)).alias("accepted"))
-
-
-def reporter(services: DataFrame, service_edges: DataFrame, out: str, key: str = "incident_key") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: reconstruct each batch's incidents and write their documents under ``out``."""
+                    own.append(at)
+                    spent += not carried
+            yield batch.assign(accepted=passed)
+
+    mine = calls.select(F.floor(F.col("at") / 86400).alias("day"), "client", "at", "seq", F.lit(False).alias("carried"))
+    carried = None
+    while True:
+        rows = mine if carried is None else mine.unionByName(carried)
+        dealt = rows.repartition("day").sortWithinPartitions("day", "at", F.desc("carried"), "seq")
+        found = graph.cut(dealt.mapInPandas(run, "day long, client long, at double, seq long, carried boolean, accepted boolean"))
+        late = found.where("accepted and not carried").where(F.col("at") >= (F.col("day") + 1) * 86400 - 3600)
+        new = graph.cut(late.select((F.col("day") + 1).alias("day"), "client", "at", "seq", F.lit(True).alias("carried")))
+        held = new.limit(0) if carried is None else carried
+        if new.exceptAll(held).isEmpty() and held.exceptAll(new).isEmpty():
+            return found.where("not carried").select("client", "at", "seq", "accepted")
+        carried = new
+
+
+def reporter(services: DataFrame, service_edges: DataFrame, out: str, burst: dict | None = None, settle: float = 5, most: int = 1200) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: reconstruct incidents and write their documents under ``out``.
+
+    Without ``burst`` each incident of the batch; with it (the arguments of ``trips``) only what tripped: for each
+    trip of a batch's incident the newest ``most`` of its events once settled.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        if burst is not None:
+            batch = graph.cut(batch)
+            errors = batch.where(F.upper("level").isin("ERROR", "CRITICAL", "FATAL")).select(F.col("incident_key").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+            held = settled(batch.withColumn("key", F.col("incident_key")), trips(errors, **burst), settle, most)
+            batch = graph.cut(held.withColumn("incident_key", F.concat_ws("@", "incident_key", F.col("at").cast("long").cast("string"))).select(*batch.columns))
         if not batch.isEmpty():
             star = reconstruct(batch, services, service_edges)
             files.write_documents(star, f"{out}/batch={number}")
@@ -127,9 +171,8 @@ def reporter(services: DataFrame, service_edges: DataFrame, out: str, key: str =
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that a stream gives of what there is now."""
+    """Everything that a stream gives of what there is now, written to the shared folder and read back."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    place = graph.shared_dir(spark)
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{place}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    place = f"{graph.shared_dir(spark)}/drained_{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
