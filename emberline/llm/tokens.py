@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 #: Characters after which a long text is next cut at a safe boundary.
 CHUNK_CHARS = 1 << 20
 #: Entries of one memo generation.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 #: Pieces that the library encodes in one text.
 LEARN = 128
 
