@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key with one part in so many of all rows is hot.
 HOT_SHARE = 1000
+#: Bits of the filter of ``split_by_keys``, in rows of 32768 bits.
+FILTER_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +58,25 @@ def join_by_key(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataFra
     return here.unionByName(many.join(hot.select(key), key, "left_anti").join(cold, key)).drop(rows)
 
 
+def split_by_keys(df: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Two parts of ``df``: rows whose ``key``, a hash, may be among ``keys`` (one column of hashes), and rows whose key surely isn't.
+
+    A bit stands for all hashes that end alike, so the first part holds every row whose key is there and a few others.
+    The bits are ``FILTER_BITS`` at most, 8 MB, whatever the input, and are broadcast; beyond that many keys the first
+    part only grows. It spares the shuffle of what a join with ``keys`` would leave out.
+    """
+    bucket, bits = fresh(df, "filter_bucket", "filter_bits")
+    place = key.bitwiseAND(F.lit(FILTER_BITS - 1))
+    at = keys.toDF("k").select(F.col("k").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("p"))
+    at = at.select(F.shiftright("p", 15).alias(bucket), F.col("p").bitwiseAND(F.lit(32767)).alias("p")).repartition(bucket)
+    known = F.broadcast(at.groupBy(bucket).agg(F.bitmap_construct_agg("p").alias(bits)))
+    within = place.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, within.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    looked = df.withColumn(bucket, F.shiftright(place, 15)).join(known, bucket, "left")
+    return looked.where(there).select(*df.columns), looked.where(~there).select(*df.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -147,18 +147,20 @@ class _Packer:
         self.size -= start
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, sentence_penalty: float = 0.5, hard_penalty: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, sentence_penalty: float = 0.5, hard_penalty: float = 2.0, memo: int = tokens.MEMO_ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all of ``docs`` in sequences of at most ``window`` tokens.
 
     A document is its text's ids (null text: none) and then ``end_id``, so that each row has at least one token.
     Rows are packed in the order read; pieces of a sequence lie there gapless from offset 0. Repeated rows are
     packed each for themselves; null ids stay null; other columns are not read; an empty table gives no piece.
+    ``memo`` words are remembered by each Python worker, and as many that were met before them: it sets memory against
+    time and changes no result.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokens.shared(tokens.ByteBpe, tokenizer)
+        bpe = tokens.shared(tokens.ByteBpe, tokenizer, memo)
         packer = _Packer(window, sentence_penalty, hard_penalty, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4")
         for batch in batches:

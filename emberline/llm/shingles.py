@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import simhash
-from emberline.llm.common import fresh, materialise
+from emberline.llm.common import fresh, materialise, split_by_keys
 
 BANDS, DEEP = 20, 4
 #: Texts of a tile; shingles of one product of matrices.
@@ -54,11 +54,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def checked(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (u, v) of text keys whose sets are alike enough."""
-    pairs = materialise(pairs.distinct(), "shingle-pairs")
-    named = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).distinct()
-    some = materialise(texts.join(named, "k", "left_semi").dropDuplicates(["k"]), "shingle-texts")
+def checked(pairs: DataFrame, some: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (u, v) of text keys whose sets are alike enough; ``some`` (k, t) has each text once."""
     both = pairs.join(some.toDF("u", "a"), "u").join(some.toDF("v", "b"), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +111,14 @@ def joined(rest: list[tuple[int, int, np.ndarray]], every: list[tuple[int, int,
     return out
 
 
-def touching(left: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(u, v): links that join the components of ``left`` (band, key, k, c), the texts of keys with several components."""
+def touching(left: DataFrame, some: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(u, v): links that join the components of ``left`` (band, key, k, c), the texts of keys with several components; ``some`` (k, t) has each text once."""
     least = left.groupBy("band", "key").agg(F.min("k").alias("u"))
     cluster = simhash.components(left.join(least, ["band", "key"]).where("k <> u").select("u", F.col("k").alias("v")), "shingle-clusters")
     member = materialise(left.select("k", "c").distinct().join(cluster, F.col("k") == F.col("node")).select(F.col("label").alias("g"), "k", "c"), "shingle-members")
     parts = member.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
     sizes = parts.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
     tiles = sizes.select("g", "main", F.ceil(F.col("size") / TILE).cast("int").alias("bs"), F.ceil((F.col("size") - F.col("most")) / TILE).cast("int").alias("as"))
-    some = materialise(texts.join(member.select("k"), "k", "left_semi").dropDuplicates(["k"]), "shingle-texts")
     rows = member.join(tiles, "g").join(some, "k")
     place = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -155,12 +151,16 @@ def components(texts: DataFrame, known: DataFrame, similarity: float = 0.8, word
     keyed = materialise(texts.mapInArrow(run, "band int, key long, k long"), "shingles")
     groups = keyed.groupBy("band", "key").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least <> most").select("band", "key", "least")
     shared = materialise(keyed.join(groups, ["band", "key"]).distinct(), "shingle-groups")
-    links = materialise(checked(shared.where("k <> least").select(F.col("least").alias("u"), F.col("k").alias("v")), texts, similarity, words), "shingle-links")
+    # the texts that share a key with another are taken out once, at every size in one way: their keys grow with the input
+    maybe, _ = split_by_keys(texts, shared.select("k"), F.col("k"))
+    some = materialise(maybe.join(shared.select("k").distinct().hint("merge"), "k", "left_semi").dropDuplicates(["k"]), "shingle-texts")
+    pairs = materialise(shared.where("k <> least").select(F.col("least").alias("u"), F.col("k").alias("v")).distinct(), "shingle-pairs")
+    links = materialise(checked(pairs, some, similarity, words), "shingle-links")
     label = simhash.components(links.union(known), "shingle-first")
     held = shared.join(label, F.col("k") == F.col("node"), "left").select("band", "key", "k", F.coalesce("label", "k").alias("c"))
     open_ = held.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "key")
     left = materialise(held.join(open_, ["band", "key"]), "shingle-open")
-    more = materialise(touching(left, texts, similarity, words), "shingle-more")
+    more = materialise(touching(left, some, similarity, words), "shingle-more")
     return simhash.components(links.union(known).union(more), "shingle-all")
 
 
@@ -177,12 +177,15 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col
     a, b = nodes.toDF("u", "ku"), nodes.toDF("v", "kv")
     near = simhash.links(nodes).join(a, "u").join(b, "v").select(F.col("ku").alias("u"), F.col("kv").alias("v"))
     label = components(texts, materialise(same.union(near), "shingle-simhash"), similarity, words)
-    rows = docs.select(key.alias("node"), F.col(id_col).alias("i")).groupBy("node", "i").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialise(docs.select(key.alias("node"), F.col(id_col).alias("i")).groupBy("node", "i").agg(F.count(F.lit(1)).alias("n")), "shingle-rows")
     best = F.struct(F.col("i").isNull(), "i", "node")
     named = rows.join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("c")).agg(F.min_by(F.struct("node", "i", "n"), best).alias("s")).select("s.*")
     k, i, n = fresh(docs, "keep_key", "keep_id", "keep_n")
     keep = materialise(named.toDF(k, i, n), "shingle-keep")
+    # a row of a text that has no link and no other row stays without a look at ``keep``
+    more = rows.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node")
+    maybe, alone = split_by_keys(docs, label.select("node").union(more), key)
     here = (key == F.col(k)) & F.col(id_col).eqNullSafe(F.col(i))
-    kept = docs.join(keep.where(F.col(n) == 1), here, "left_semi")
-    twice = docs.join(keep.where(F.col(n) > 1), here).dropDuplicates([k]).select(*docs.columns)
-    return kept.unionByName(twice)
+    kept = maybe.join(keep.where(F.col(n) == 1).hint("merge"), here, "left_semi")
+    twice = maybe.join(keep.where(F.col(n) > 1), here).dropDuplicates([k]).select(*docs.columns)
+    return alone.unionByName(kept).unionByName(twice)

@@ -92,7 +92,7 @@ class Memo(dict):
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary (``byte_bpe_50k.json``), special strings as the library's default."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO_ENTRIES):
         self.t = load(path)
         self.model = self.t.model.tokenize
         vocab = self.t.get_vocab(with_added_tokens=True)
@@ -100,7 +100,7 @@ class ByteBpe:
         self.starts, self.blanks, self.stops = (np.zeros(max(vocab.values()) + 1, bool) for _ in range(3))
         for s, i in vocab.items():
             self.starts[i], self.blanks[i], self.stops[i] = s.startswith(SPACE), s.startswith(BLANKS), s.endswith((".", "!", "?"))
-        self.memo = Memo()  # by the piece without its leading space
+        self.memo = Memo(memo)  # by the piece without its leading space
         self.ends = {c: x.tobytes() for c, x in zip(".,\n", self._ids([".", ",", "\n"]))}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -273,11 +273,11 @@ class WordCounter:
             yield from self._count(group)
 
 
-_LOADED: dict[tuple[type, str], object] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def shared(kind: type, path: str):
+def shared(kind: type, path: str, *more):
     """One instance for each Python worker, so that the memo lasts from task to task."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    if (kind, path, *more) not in _LOADED:
+        _LOADED[kind, path, *more] = kind(path, *more)
+    return _LOADED[kind, path, *more]
