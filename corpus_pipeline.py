@@ -56,9 +56,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text is its end id alone; null ids stay null; repeated rows are packed each for themselves.
     """
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=MEMO)
 
 
+#: Words that a Python worker remembers in the last stage; the workers hold the models of the stages before as well.
+MEMO = 150_000
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("language_id", language_stage),
