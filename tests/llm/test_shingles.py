@@ -5,6 +5,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from emberline.llm.common import split_by_keys
 
 
 def sets(text):
@@ -61,3 +63,18 @@ def test_common_counts(monkeypatch):
     rng = np.random.default_rng(2)
     a, b = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((3, 40, 25, 1), (10, 50)))
     assert shingles.common(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+def test_split_by_keys_loses_no_row_and_passes_few_others(spark):
+    """Two parts that make up the table, whatever the sign of a hash and the other columns' names; no keys, no rows."""
+    rows = spark.range(3000).select(F.xxhash64("id").alias("k"), F.col("id").alias("filter_bits"), F.col("id").alias("FILTER_BUCKET"))
+    keys = rows.where("filter_bits % 7 = 0").select("k")
+    maybe, alone = split_by_keys(rows, keys, F.col("k"))
+    assert maybe.columns == rows.columns == alone.columns
+    inside, outside = ([r["filter_bits"] for r in part.collect()] for part in (maybe, alone))
+    assert sorted(inside + outside) == list(range(3000))
+    assert {n for n in range(3000) if n % 7 == 0} <= set(inside) and len(inside) < 500
+    maybe, alone = split_by_keys(rows, keys.limit(0), F.col("k"))
+    assert maybe.count() == 0 and alone.count() == 3000
+    maybe, alone = split_by_keys(rows.limit(0), keys, F.col("k"))
+    assert maybe.count() == alone.count() == 0
