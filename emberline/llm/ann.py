@@ -2,9 +2,10 @@
 
 Vectors get one more component that makes all of them equally long, so that the largest inner product is the
 least distance; then all are turned by a random rotation. Lists come from k-means over a bounded sample of rows;
-every vector is in its nearest list. A query probes its nearest lists. Within a list the rotated vectors are
-read in blocks of columns, and after each block a hypothesis test drops those whose partial distance, scaled to
-all columns, is too far above the kth distance known so far. What stays is scored exactly on the vectors given.
+every vector is in its nearest list. A query probes its nearest list first, and then others with the kth distance
+found there. Within a list the rotated vectors are read in blocks of columns, and after each block a hypothesis test
+drops those whose partial distance, scaled to all columns, is too far above the kth distance known so far. What stays
+is scored exactly on the vectors given.
 
 The sample, and what it fits, is bounded: ``SAMPLE`` rows expected, at most ``LISTS`` lists. The number of lists
 probed is fitted too: the least that holds ``COVER`` of the sample's own exact neighbours.
@@ -17,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import hash_unit, materialise
 from emberline.llm.vectors import answer, fold, usable, usual_length
 
-SAMPLE, LISTS, COVER = 16_384, 1024, 0.98
+SAMPLE, LISTS, COVER = 16_384, 1024, 0.94
 #: Columns of one block, the test's width (in deviations of a partial distance), rows of a list's part.
 BLOCK, EPSILON, PART_ROWS = 16, 2.1, 4096
+#: Queries held at once by a task, pairs of a query and a row compared at once.
+ASKS, PAIRS = 1024, 1 << 20
 
 
 @dataclass
@@ -73,23 +76,32 @@ def fit(sample: np.ndarray, longest: float, lists: int, k: int, seed: int = 7, r
     return index
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """Rows of ``x`` (rotated) that may be among the k nearest to ``q``: partial distances by blocks of columns, each with its test."""
+def scan(x: np.ndarray, q: np.ndarray, k: int, known: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of rows of ``x`` that may be among the k nearest to rows of ``q``, all rotated.
+
+    Partial distances grow by blocks of columns, each with its test against the kth distance: ``known``, or where that
+    is infinite the kth of the rows nearest by the first block. Blocks are products of matrices while many pairs stay.
+    """
     n, d = x.shape
-    rows = np.arange(n)
-    if n <= 2 * k:
-        return rows
-    part = ((x[:, :BLOCK] - q[:BLOCK]) ** 2).sum(axis=1)
-    first = np.argpartition(part, 2 * k - 1)[: 2 * k]
-    limit = np.partition(((x[first] - q) ** 2).sum(axis=1), k - 1)[k - 1]
-    for at in range(BLOCK, d + BLOCK, BLOCK):
-        seen = min(at, d)
-        stay = part <= limit * (1 + 1e-9) if seen == d else part * (d / seen) <= limit * (1 + EPSILON / np.sqrt(seen)) ** 2
-        rows, part = rows[stay], part[stay]
-        if seen == d or not len(rows):
-            break
-        part = part + ((x[rows, seen : seen + BLOCK] - q[seen : seen + BLOCK]) ** 2).sum(axis=1)
-    return rows
+    square = lambda low, high: (q[:, low:high] ** 2).sum(axis=1)[:, None] - 2 * q[:, low:high] @ x[:, low:high].T + (x[:, low:high] ** 2).sum(axis=1)[None, :]
+    part, seen, limit = square(0, BLOCK), min(BLOCK, d), known + slack
+    for i in np.flatnonzero(np.isinf(known)) if n > 2 * k else ():
+        first = np.argpartition(part[i], 2 * k - 1)[: 2 * k]
+        limit[i] = np.partition(((x[first] - q[i]) ** 2).sum(axis=1), k - 1)[k - 1] + slack
+    bound = lambda: limit if seen == d else limit * (1 + EPSILON / np.sqrt(seen)) ** 2 * (seen / d) + slack
+    stay = part <= bound()[:, None]
+    while seen < d and stay.sum() * 8 > stay.size:
+        part += square(seen, seen + BLOCK)
+        seen = min(seen + BLOCK, d)
+        stay &= part <= bound()[:, None]
+    at, rows = np.nonzero(stay)
+    part = part[at, rows]
+    while seen < d and len(at):
+        part = part + ((x[rows, seen : seen + BLOCK] - q[at, seen : seen + BLOCK]) ** 2).sum(axis=1)
+        seen = min(seen + BLOCK, d)
+        stay = part <= bound()[at]
+        at, rows, part = at[stay], rows[stay], part[stay]
+    return at, rows
 
 
 def approximate_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -130,9 +142,13 @@ def approximate_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_
     # a list over PART_ROWS is dealt into parts, each searched for every query that probes the list
     sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
     sizes = F.broadcast(sizes)  # at most LISTS rows
-    points_in = placed.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec"), "parts").cast("int").alias("part"), F.lit(None).cast("long").alias("query"), "vec", "ids")
-    probing = query.select("query", "vec").mapInArrow(place, "query long, vec array<double>, lists array<int>").select("query", "vec", F.explode("lists").alias("list"))
-    asking = probing.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query", "vec", F.lit(None).cast("array<bigint>").alias("ids"))
+    none = F.lit(None).cast("double").alias("floor")
+    points_in = placed.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec"), "parts").cast("int").alias("part"), F.lit(None).cast("long").alias("query"), "vec", "ids", none)
+
+    def asking(queries: DataFrame, lists: Column) -> DataFrame:
+        probing = queries.select("query", "vec", "floor").mapInArrow(place, "query long, vec array<double>, floor double, lists array<int>")
+        probing = probing.select("query", "vec", "floor", F.explode(lists).alias("list")).join(sizes, "list")
+        return probing.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query", "vec", F.lit(None).cast("array<bigint>").alias("ids"), "floor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -150,22 +166,30 @@ def approximate_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_
                 x = np.concatenate(points)
                 block = x, ix.turn(x, False)
             x, turned = block
-            original = np.array([v for _, v in asks])
-            for (q, _), v, t in zip(asks, original, ix.turn(original, True)):
-                rows = scan(turned, t, k + 1)
-                scores = (x[rows] * v).sum(axis=1)
-                if len(rows) > k + 1:
-                    stay = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                    rows, scores = rows[stay], scores[stay]
-                hits = sorted((-s, i) for r, s in zip(rows.tolist(), scores.tolist()) for i in ids[r])
-                yield from ((q, i, -s) for s, i in hits[: k + 1])
+            step = max(1, PAIRS // len(x))
+            for some in (asks[i : i + step] for i in range(0, len(asks), step)):
+                original = np.array([v for _, v, _ in some])
+                squares = (original * original).sum(axis=1)
+                floor = np.array([-np.inf if f is None else f for _, _, f in some])
+                at, rows = scan(turned, ix.turn(original, True), k + 1, ix.longest + squares - 2 * floor, 1e-9 * (ix.longest + squares.max()))
+                scores = (x[rows] * original[at]).sum(axis=1)
+                good = scores >= floor[at]
+                at, rows, scores = at[good], rows[good], scores[good]
+                ends = np.searchsorted(at, np.arange(len(some) + 1))
+                for (q, _, _), i, j in zip(some, ends, ends[1:]):
+                    r, s = rows[i:j], scores[i:j]
+                    if len(r) > k + 1:
+                        stay = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                        r, s = r[stay], s[stay]
+                    hits = sorted((-v, m) for n, v in zip(r.tolist(), s.tolist()) for m in ids[n])
+                    yield from ((q, m, -v) for v, m in hits[: k + 1])
 
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             whose = batch.column(2).to_pylist()
             vec = batch.column(3).flatten().to_numpy().reshape(-1, d)
             out, asks = [], []
-            own = batch.column(4)
+            own, floors = batch.column(4), batch.column(5).to_pylist()
             for n, (key, q) in enumerate(zip(keys, whose)):
                 if key != here:
                     out += ask(asks)
@@ -174,9 +198,19 @@ def approximate_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_
                     points.append(vec[n : n + 1])
                     ids.append(own[n].as_py())
                 else:
-                    asks.append((q, vec[n]))
+                    asks.append((q, vec[n], floors[n]))
+                    if len(asks) == ASKS:
+                        out += ask(asks)
+                        asks = []
             out += ask(asks)
             yield table(out)
 
-    dealt = points_in.unionByName(asking).repartition("list", "part").sortWithinPartitions("list", "part", F.col("query").asc_nulls_first())
-    return answer(dealt.mapInArrow(run, "query long, vec_id long, score double"), names, k)
+    def search(asks: DataFrame) -> DataFrame:
+        dealt = points_in.unionByName(asks).repartition("list", "part").sortWithinPartitions("list", "part", F.col("query").asc_nulls_first())
+        return dealt.mapInArrow(run, "query long, vec_id long, score double")
+
+    home = materialise(search(asking(query.withColumn("floor", none), F.slice("lists", 1, 1))), "ann-home")
+    best = home.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("n") <= k + 1)
+    floors = best.where(F.col("n") == k + 1).select("query", F.col("score").alias("floor"))
+    rest = search(asking(query.join(floors, "query", "left"), F.slice("lists", 2, LISTS)))
+    return answer(home.unionByName(rest), names, k)
