@@ -82,10 +82,10 @@ def b12_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.clip("text", 110).alias("short"), X.clip("text", 60).alias("shorter"))
 
 
-@query("SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(trim(coalesce(substr(text, 1, 90), '')), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 48), ''), 'service') AS name FROM documents")
+@query("SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(trim(coalesce(text, '')), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 48), ''), 'service') AS name FROM documents")
 def b13_safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names made of what a document begins with."""
-    return adapters.table(spark, sf_dir, "documents").select("doc_id", X.safe_name(F.substring("text", 1, 90)).alias("name"))
+    """Names made of documents' whole texts."""
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", X.safe_name("text").alias("name"))
 
 
 @query(r"""SELECT id, logger, array_to_string(list_slice(string_split(logger, '.'), 1, 2), '.') AS package,

@@ -106,11 +106,11 @@ def b14_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.accepted(gated(spark, sf_dir)).groupBy("incident_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT incident_key, service, string_agg(dependency, ',' ORDER BY ord) AS depends_on FROM (SELECT t.incident_key, e.service, e.dependency, e.ord FROM (SELECT DISTINCT incident_key, source FROM telemetry WHERE seq % 29 = 0) t
-  JOIN service_edges e ON e.service = t.source JOIN (SELECT DISTINCT incident_key, source FROM telemetry WHERE seq % 29 = 0) d ON d.incident_key = t.incident_key AND d.source = e.dependency) GROUP BY ALL""")
+@query("""SELECT incident_key, service, string_agg(dependency, ',' ORDER BY ord) AS depends_on FROM (SELECT t.incident_key, e.service, e.dependency, e.ord FROM (SELECT DISTINCT incident_key, source FROM telemetry WHERE source_type = 'deployment') t
+  JOIN service_edges e ON e.service = t.source JOIN (SELECT DISTINCT incident_key, source FROM telemetry WHERE source_type = 'deployment') d ON d.incident_key = t.incident_key AND d.source = e.dependency) GROUP BY ALL""")
 def b15_declared_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each incident declares the services of every 29th event."""
-    declared = adapters.telemetry(spark, sf_dir).where("seq % 29 = 0").select("incident_key", F.col("source").alias("service")).distinct()
+    """Each incident declares the services that were deployed in it."""
+    declared = adapters.telemetry(spark, sf_dir).where("source_type = 'deployment'").select("incident_key", F.col("source").alias("service")).distinct()
     deps = adapters.service_edges(spark, sf_dir).groupBy("service").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dependency"))), lambda x: x["dependency"]).alias("depends_on"))
     return quality.declared_dependencies(declared.join(deps, "service", "left")).where(F.size("depends_on") > 0).select("incident_key", "service", ids("depends_on"))
 
