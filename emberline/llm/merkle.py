@@ -114,10 +114,10 @@ def chunked(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g", "chunk", "n").agg(F.collect_list(run).alias("slots"))
 
 
-def reduced(leaves: list[str], n: int) -> list[list[str]]:
-    """The levels of a chunk of a group of ``n`` nodes, the leaves first: all ``LEVELS`` while the group has more chunks."""
+def reduced(leaves: list[str], n: int, most: int = LEVELS) -> list[list[str]]:
+    """The levels of a chunk of a group of ``n`` nodes, the leaves first: ``most`` while the group has more chunks."""
     levels = [leaves]
-    for _ in range(min(LEVELS, (n - 1).bit_length())):
+    for _ in range(min(most, (n - 1).bit_length())):
         here = levels[-1]
         levels.append([hashlib.sha256("".join(here[i : i + 2]).encode()).hexdigest() for i in range(0, len(here), 2)])
     return levels
@@ -131,6 +131,7 @@ def _leaves(slots: list[dict]) -> tuple[list[dict], list[str]]:
 
 def _nodes(chunks: DataFrame) -> DataFrame:
     """(g, n, at, hash): each chunk's node, and the number of nodes of the group one round up."""
+    most = LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +140,8 @@ def _nodes(chunks: DataFrame) -> DataFrame:
                 r = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
                 g.append(r["g"])
                 at.append(r["chunk"])
-                n.append(-(-r["n"] // SLOTS))
-                hashes.append(bytes.fromhex(reduced(_leaves(r["slots"])[1], r["n"])[-1][0]))
+                n.append(-(-r["n"] // (1 << most)))
+                hashes.append(bytes.fromhex(reduced(_leaves(r["slots"])[1], r["n"], most)[-1][0]))
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(hashes, pa.binary())], ["g", "n", "at", "hash"])
 
     return materialise(chunks.mapInArrow(run, "g string, n bigint, at bigint, hash binary"), "merkle-nodes")
@@ -148,13 +149,14 @@ def _nodes(chunks: DataFrame) -> DataFrame:
 
 def _paths(chunks: DataFrame) -> DataFrame:
     """(g, at, id, leaf, claimed, steps, subroot, root) of every place of ``chunks``, which hold what is above them as ``above``, ``subroot``, ``root``."""
+    most = LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
                 entries, leaves = _leaves(r["slots"])
-                levels = reduced(leaves, r["n"])[:-1]
+                levels = reduced(leaves, r["n"], most)[:-1]
                 up_left, up_hash = [s["left"] for s in r["above"]], [s["hash"] for s in r["above"]]
                 left, hashes = [], []
                 for k in range(len(leaves)):
@@ -168,7 +170,7 @@ def _paths(chunks: DataFrame) -> DataFrame:
                 steps = pa.ListArray.from_arrays(pa.array(range(0, width * m + 1, width) if width else [0] * (m + 1), pa.int32()), pa.StructArray.from_arrays([pa.array(left, pa.bool_()), pa.array(hashes, pa.string())], ["left", "hash"]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r["g"]] * m, pa.string()), pa.array(range(r["chunk"] * SLOTS, r["chunk"] * SLOTS + m), pa.int64()), pa.array([e["id"] for e in entries], pa.int64()),
+                        pa.array([r["g"]] * m, pa.string()), pa.array(range(r["chunk"] << most, (r["chunk"] << most) + m), pa.int64()), pa.array([e["id"] for e in entries], pa.int64()),
                         pa.array(leaves, pa.string()), pa.array([e["claimed"] and e["claimed"].hex() for e in entries], pa.string()), steps, pa.array([r["subroot"]] * m, pa.string()), pa.array([r["root"]] * m, pa.string()),
                     ],
                     ["g", "at", "id", "leaf", "claimed", "steps", "subroot", "root"],
