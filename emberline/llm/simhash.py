@@ -140,19 +140,28 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): the least node that each node of ``edges`` (u, v) reaches. The number of rounds grows with the logarithm of a component's width."""
-    both = materialise(edges.select("u", "v").union(edges.select("v", "u")).distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), name)
-    while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        # a label's own label is read from the round before, so a round is one pass
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = materialise(spread.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), "was"), name)
-        moved = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+    """(node, label): the least node that each node of ``edges`` (u, v) reaches.
+
+    Each round a node goes over to that of its neighbours, or itself, whose hash is least, and edges are carried over
+    to the nodes that are left, so that they shrink by a share each round and a star is gone in two. What each node
+    went over to is then followed down the rounds, one join a round.
+    """
+    left = edges.where("u <> v")
+    both = materialise(left.select("u", "v").union(left.select("v", "u")).distinct(), f"{name}-edges")
+    label = None
+    while not both.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+        best = both.groupBy("u").agg(F.min(order("v")).alias("best"))
+        step = materialise(best.select(F.col("u").alias("node"), F.least("best", order("u"))["to"].alias("to")), f"{name}-step")
+        on = step.toDF("to", "next")
+        label = step if label is None else label.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+        label = materialise(label, f"{name}-label")
+        moved = both.join(step.toDF("u", "a"), "u").join(step.toDF("v", "b"), "v").where("a <> b")
+        both = materialise(moved.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-edges")
+    if label is None:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    least = label.groupBy("to").agg(F.min("node").alias("label"))
+    return materialise(label.join(least, "to").select("node", "label"), name)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from emberline.llm import simhash
 from emberline.llm.common import split_by_keys
 
 
@@ -78,3 +79,26 @@ def test_split_by_keys_loses_no_row_and_passes_few_others(spark):
     assert maybe.count() == 0 and alone.count() == 3000
     maybe, alone = split_by_keys(rows.limit(0), keys, F.col("k"))
     assert maybe.count() == alone.count() == 0
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    rng = random.Random(12)
+    edges = [(n, n + 1) for n in range(1000, 1200)] + [(1500, n) for n in range(1501, 1600)] + [(n, 1599) for n in range(1400, 1450)] + [(2000 + n, 2000 + (n + 1) % 30) for n in range(30)]
+    edges += [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(350)] + [(1500, 1501), (7000, 7000)]
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = find(u), find(v)
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            root[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    got = simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()
+    assert {r["node"]: r["label"] for r in got} == want and len(got) == len(want)
+    assert simhash.components(spark.createDataFrame([(5, 5)], "u long, v long")).count() == 0
