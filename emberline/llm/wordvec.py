@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,39 +31,64 @@ SAMPLE, CALIBRATION = 8000, 5
 SIZE, ENTRIES, VOCABULARY, LEAST_ROWS, REACH = 128, 4, 4096, 5, 2
 #: Hidden units, passes over the sample, rows of a step, weight decay.
 HIDDEN, PASSES, STEP_ROWS, DECAY = 32, 60, 128, 1e-4
-#: Terms whose context is summed at once; slots of one row of partial sums.
-BLOCK_TERMS, SLOTS = 1 << 16, 64
+#: Characters of the texts that are cut into terms at once; slots of one row of partial sums; texts whose vectors are pooled at once, and rows of a batch.
+BLOCK_CHARACTERS, SLOTS, BLOCK_TEXTS, ROWS = 1 << 20, 64, 512, 1024
 TERM = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: The same, and the ends of lines.
+CUT = re.compile(TERM.pattern + r"|\n")
+#: Marks of a term's shape; the last is that of a term that repeats the one before.
+SHAPES = ["upper", "lower", "title", "digit", "sign", "mixed", "again"]
 #: A term of no document: between documents of one block.
 NONE = np.uint32(0)
 
 
-def shapes(words: Sequence[str]) -> list[str]:
-    """A mark for each term: its kind and case, and whether it repeats the one before."""
-    out, last = [], None
-    for w in words:
-        kind = "0upper" if w.isupper() and len(w) > 1 else "0lower" if w.islower() else "0title" if w.istitle() else "0digit" if w[0].isdigit() else "0sign" if not w[0].isalpha() else "0mixed"
-        out.append("0again" if w == last else kind)
-        last = w
-    return out
-
-
-def split(text: str | None) -> tuple[list[str], list[str]]:
-    """Terms of a whole text in order, and marks of their shapes."""
-    found = TERM.findall(text or "")
-    return [w.lower() for w in found], shapes(found)
+def shape(word: str) -> int:
+    """The number of a term's shape in ``SHAPES``."""
+    if word.islower():
+        return 1
+    if not word[0].isalnum():
+        return 4
+    return 3 if word[0].isdigit() else 0 if word.isupper() and len(word) > 1 else 2 if word.istitle() else 5
 
 
 def code(term: str) -> int:
     """A term's hash; never that of ``NONE``."""
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) or 1
+    return zlib.crc32(term.encode()) or 1
+
+
+def codes(terms: Iterable[str]) -> np.ndarray:
+    """The hash of each term in lower case."""
+    crc = zlib.crc32
+    return np.array([crc(t.lower().encode()) or 1 for t in terms], np.uint32)
+
+
+def terms_of(text: str | None) -> list[str]:
+    """The terms of a whole text in order, as they stand."""
+    return TERM.findall(text or "")
+
+
+def distinct(rows: list[str]) -> tuple[np.ndarray, dict[str, int]]:
+    """The number of each row among the different ones, in the order in which they are met, and these."""
+    index = {w: n for n, w in enumerate(dict.fromkeys(rows))}
+    return np.fromiter(map(index.__getitem__, rows), np.int64, len(rows)), index
 
 
-def codes(terms: Sequence[str], memo: dict[str, int]) -> np.ndarray:
-    """Hashes of ``terms``; ``memo`` is of one block and goes with it."""
-    for t in set(terms).difference(memo):
-        memo[t] = code(t)
-    return np.fromiter((memo[t] for t in terms), np.uint32, len(terms))
+def numbered(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """The terms of a block of texts as numbers, one text after the other, how many each text has, and the different terms.
+
+    Terms have no white space in them, so each different word of the block is cut into terms once.
+    """
+    lists = [t.split() for t in texts]
+    word, words = distinct(list(chain.from_iterable(lists)))
+    cut, terms = distinct(CUT.findall("\n".join(words)))
+    ends = cut == terms.get("\n", -1)
+    of, every = np.cumsum(ends)[~ends], cut[~ends]  # the word of each term
+    size = np.bincount(of, minlength=len(words))
+    start = np.cumsum(size) - size
+    n = size[word]
+    found = every[np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    text = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
+    return found, np.bincount(text, n, len(texts)).astype(np.int64), terms
 
 
 def index_entries(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,27 +101,45 @@ def index_entries(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x % np.uint64(SIZE)).astype(np.int64), sign
 
 
-def context_sums(terms: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """(vocabulary x SIZE): for each term of the sorted ``vocabulary`` the sum of its neighbours' index vectors in the sequence ``terms``."""
-    out = np.zeros(len(vocabulary) * SIZE, np.int64)
-    if not len(terms) or not len(vocabulary):
-        return out.reshape(-1, SIZE)
-    slot = np.searchsorted(vocabulary, terms)
-    known = (slot < len(vocabulary)) & (vocabulary[np.minimum(slot, len(vocabulary) - 1)] == terms)
-    place, sign = index_entries(terms)
-    for step in range(1, REACH + 1):
-        # a neighbour after and a neighbour before
-        for at, by in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-            hit = known[at]
-            where = slot[at][hit][:, None] * SIZE + place[by][hit]
-            out += np.bincount(where.ravel(), sign[by][hit].ravel(), len(out)).astype(np.int64)
-    return out.reshape(-1, SIZE)
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """(terms x SIZE): index vectors of length 1, but for entries that fall on one place."""
+    place, sign = index_entries(h)
+    out = np.zeros((len(h), SIZE))
+    np.add.at(out, (np.arange(len(h))[:, None], place), sign / ENTRIES**0.5)
+    return out
 
 
-def join(parts: Sequence[np.ndarray]) -> np.ndarray:
-    """Documents one after the other, so far apart that no term of one is next to one of another."""
-    gap = np.full(REACH, NONE, np.uint32)
-    return np.concatenate([x for p in parts for x in (p, gap)]) if parts else np.zeros(0, np.uint32)
+#: Index vectors of the marks; no term has a space.
+MARKS = index_vectors(np.array([code(f"shape {s}") for s in SHAPES], np.uint32))
+
+
+def slots(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted ``vocabulary``, or -1."""
+    if not len(vocabulary):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == h, at, -1)
+
+
+def context_sums(texts: Sequence[str], vocabulary: np.ndarray) -> np.ndarray:
+    """(vocabulary x SIZE): for each term of the sorted ``vocabulary`` the sum of its neighbours' index vectors in ``texts``, which are in lower case."""
+    out = np.zeros(len(vocabulary) * SIZE)
+    terms, lengths, known = numbered(texts)
+    if not len(vocabulary) or not len(terms):
+        return out.reshape(-1, SIZE).astype(np.int64)
+    # texts lie so far apart that no term of one is next to one of another
+    h = np.append(codes(known), NONE)
+    terms = np.insert(terms, np.repeat(np.cumsum(lengths), REACH), len(h) - 1)
+    slot = slots(h, vocabulary)[terms]
+    place, sign = index_entries(h)
+    place, sign = place[terms], sign[terms].astype(float)
+    at = np.flatnonzero(slot >= 0)
+    base = slot[at] * SIZE
+    for step in (*range(-REACH, 0), *range(1, REACH + 1)):
+        by = at + step
+        fit = (by >= 0) & (by < len(terms))
+        out += np.bincount((base[fit][:, None] + place[by[fit]]).ravel(), sign[by[fit]].ravel(), len(out))
+    return out.reshape(-1, SIZE).astype(np.int64)
 
 
 def contexts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> np.ndarray:
@@ -106,16 +149,15 @@ def contexts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") ->
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, n, memo = np.zeros((len(held.value), SIZE), np.int64), [], 0, {}
+        total, waiting, n = np.zeros((len(held.value), SIZE), np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
-                terms, _ = split(text.as_py())
-                waiting.append(codes(terms, memo))
-                n += len(terms)
-                if n >= BLOCK_TERMS:
-                    total += context_sums(join(waiting), held.value)
-                    waiting, n, memo = [], 0, {}
-        total += context_sums(join(waiting), held.value)
+                waiting.append((text.as_py() or "").lower())
+                n += len(waiting[-1])
+                if n >= BLOCK_CHARACTERS:
+                    total += context_sums(waiting, held.value)
+                    waiting, n = [], 0
+        total += context_sums(waiting, held.value)
         if total.any():
             parts = range(0, len(total), SLOTS)
             yield pa.RecordBatch.from_arrays([pa.array([p // SLOTS for p in parts], pa.int32()), pa.array([total[p : p + SLOTS].tobytes() for p in parts], pa.binary())], ["slot", "sums"])
@@ -206,28 +248,37 @@ class Model:
     network: Network | None = None
     share: float = 0.5
 
-    def pool(self, terms: Sequence[str], memo: dict[str, int]) -> np.ndarray:
-        """The mean of the terms' vectors: the index vector, of length 1, and the context vector where there is one."""
-        if not terms:
-            return np.zeros(SIZE)
-        counts = Counter(terms)
-        h, n = codes(list(counts), memo), np.fromiter(counts.values(), float, len(counts))
-        place, sign = index_entries(h)
-        out = np.bincount(place.ravel(), (sign * n[:, None]).ravel(), SIZE) / ENTRIES**0.5
-        if len(self.vocabulary):
-            slot = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-            known = self.vocabulary[slot] == h
-            out = out + n[known] @ self.vectors[slot[known]]
-        return out / len(terms)
-
     def features(self, texts: Sequence[str | None]) -> np.ndarray:
-        out, memo = np.zeros((len(texts), 2 * SIZE)), {}
+        """For each text the mean of its words' vectors and the mean of its signs' and marks': index vectors, of length 1, and context vectors where there are."""
+        out, block, n = [np.zeros((0, 2 * SIZE))], [], 0
         for k, text in enumerate(texts):
-            terms, marks = split(text)
-            words = [t for t in terms if t[0].isalnum()]
-            out[k, :SIZE] = self.pool(words, memo)
-            out[k, SIZE:] = self.pool([t for t in terms if not t[0].isalnum()] + marks, memo)
-        return out
+            block.append(text or "")
+            n += len(block[-1])
+            if n >= BLOCK_CHARACTERS or len(block) == BLOCK_TEXTS or k + 1 == len(texts):
+                out.append(self.pooled(*numbered(block)))
+                block, n = [], 0
+        return np.concatenate(out)
+
+    def pooled(self, terms: np.ndarray, lengths: np.ndarray, known: dict[str, int]) -> np.ndarray:
+        n, kinds, h = len(lengths), np.array([shape(t) for t in known], int), codes(known)
+        if not len(terms):
+            return np.zeros((n, 2 * SIZE))
+        doc = np.repeat(np.arange(n), lengths)
+        # a row of sums for the words and one for the signs and marks of each text
+        sign_of = kinds == 4
+        row = doc * 2 + sign_of[terms]
+        place, sign = index_entries(h)
+        sums = np.bincount((row[:, None] * SIZE + place[terms]).ravel(), (sign / ENTRIES**0.5)[terms].ravel(), 2 * n * SIZE).reshape(2 * n, SIZE)
+        slot = slots(h, self.vocabulary)[terms]
+        if (slot >= 0).any():
+            width = len(self.vocabulary)
+            counts = np.bincount(row[slot >= 0] * width + slot[slot >= 0], minlength=2 * n * width).reshape(2 * n, width)
+            sums = sums + counts.astype(np.float32) @ self.vectors
+        again = np.r_[False, (terms[1:] == terms[:-1]) & (doc[1:] == doc[:-1])]
+        marks = np.bincount(doc * len(SHAPES) + np.where(again, len(SHAPES) - 1, kinds[terms]), minlength=n * len(SHAPES)).reshape(n, len(SHAPES))
+        sums[1::2] += marks @ MARKS
+        signs = np.bincount(doc, sign_of[terms], n)
+        return (sums / np.maximum(1, np.stack((lengths - signs, lengths + signs), axis=1).reshape(-1, 1))).reshape(n, 2 * SIZE)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return np.full(len(x), self.share) if self.network is None else self.network.probability(x)
@@ -246,9 +297,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: Column, samp
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, memo = batch.slice(at, 256), {}
-                got = [np.unique(codes(a + b, memo)).astype(np.int64) for a, b in (split(t) for t in part.column(1).to_pylist())]
+            for at in range(0, batch.num_rows, ROWS):
+                found, lengths, known = numbered([t or "" for t in batch.slice(at, ROWS).column(1).to_pylist()])
+                h = codes(known).astype(np.int64)
+                got = [np.unique(h[x]) for x in np.split(found, np.cumsum(lengths)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int64()))], ["terms"])
 
     learnt = materialise(rows, "quality-rows")
@@ -256,13 +308,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: Column, samp
     top = seen.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "h").limit(VOCABULARY).collect()
     vocabulary = np.array(sorted(r["h"] for r in top), np.uint32)
     sums = contexts(docs, vocabulary, text_col).astype(float)
-    model = Model(vocabulary, sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1))[:, None])
+    model = Model(vocabulary, (sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1))[:, None]).astype(np.float32))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 x = held.value.features(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["k", "y", "x"])
 
@@ -289,8 +341,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.probability(held.value.features(part.column(1).to_pylist())))], ["i", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -167,7 +167,7 @@ def test_context_vectors_equal_a_plain_count(spark):
     got = wordvec.contexts(df, vocabulary)
     wanted = {wordvec.code(w): np.zeros(wordvec.SIZE, int) for w in words}
     for t in texts:
-        terms = [wordvec.code(w) for w in wordvec.split(t)[0]]
+        terms = [wordvec.code(w) for w in wordvec.terms_of((t or "").lower())]
         for n, h in enumerate(terms):
             for m in (*range(max(0, n - wordvec.REACH), n), *range(n + 1, min(len(terms), n + wordvec.REACH + 1))):
                 if h in wanted:
@@ -178,10 +178,30 @@ def test_context_vectors_equal_a_plain_count(spark):
 
 
 def test_shapes_and_terms():
-    terms, marks = wordvec.split("One one ONE 12 *** a_b")
-    assert terms == ["one", "one", "one", "12", "***", "a", "_", "b"]
-    assert marks == ["0title", "0lower", "0upper", "0digit", "0sign", "0lower", "0sign", "0lower"]
-    assert wordvec.split("x x")[1] == ["0lower", "0again"] and wordvec.split(None) == ([], [])
+    terms = wordvec.terms_of("One one ONE 12 *** a_b aB")
+    assert terms == ["One", "one", "ONE", "12", "***", "a", "_", "b", "aB"]
+    assert [wordvec.SHAPES[wordvec.shape(t)] for t in terms] == ["title", "lower", "upper", "digit", "sign", "lower", "sign", "lower", "mixed"]
+    assert wordvec.terms_of(None) == []
+
+
+def test_pooled_vectors_equal_plain_sums():
+    rng = random.Random(6)
+    texts = ["One one one ONE ** ** x", None, "", "***", "river stone", *(prose(rng, rng.randint(1, 200)) for _ in range(90))]
+    vocabulary = np.array(sorted(wordvec.code(w) for w in ("river", "one", ".", "stone")), np.uint32)
+    model = wordvec.Model(vocabulary, np.random.default_rng(1).normal(size=(4, wordvec.SIZE)).astype(np.float32))
+
+    def vector(term):
+        h = np.array([wordvec.code(term.lower())], np.uint32)
+        at = np.flatnonzero(vocabulary == h)
+        return wordvec.index_vectors(h)[0] + (model.vectors[at[0]] if len(at) else 0)
+
+    for text, got in zip(texts, model.features(texts)):
+        terms = wordvec.terms_of(text)
+        marks = [len(wordvec.SHAPES) - 1 if n and t == terms[n - 1] else wordvec.shape(t) for n, t in enumerate(terms)]
+        words, signs = ([t for t in terms if t[0].isalnum() == k] for k in (True, False))
+        one = sum((vector(t) for t in words), np.zeros(wordvec.SIZE)) / max(1, len(words))
+        two = (sum((vector(t) for t in signs), np.zeros(wordvec.SIZE)) + sum((wordvec.MARKS[m] for m in marks), np.zeros(wordvec.SIZE))) / max(1, len(signs) + len(marks))
+        assert np.allclose(got, np.concatenate((one, two)), atol=1e-4)
 
 
 def test_temperature_has_the_least_loss():
