@@ -91,9 +91,9 @@ def write_catalog(catalog: DataFrame, path: str, mode: str = "append") -> None:
     catalog.write.mode(mode).json(path)
 
 
-def write_documents(star: dict[str, DataFrame], path: str) -> None:
-    """One JSON document for each incident, in a folder of its own."""
-    documents(star).write.mode("overwrite").partitionBy("incident_key").text(path)
+def write_documents(star: dict[str, DataFrame], path: str, overwrite: str = "static") -> None:
+    """One JSON document for each incident, in a folder of its own; ``dynamic``: folders of other incidents stay."""
+    documents(star).write.mode("overwrite").option("partitionOverwriteMode", overwrite).partitionBy("incident_key").text(path)
 
 
 def documents(star: dict[str, DataFrame]) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Live watch: bursts of errors, cooldown, quota, and reports for what tripped. The same folds run over streams and batches."""
+"""Live watch: bursts of errors, cooldown, quota. The same folds run over streams and batches; ``live`` has all of it as one operator."""
 
 from __future__ import annotations
 
 import uuid
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.functions import lines as L
 from emberline.operators import graph
-from emberline.plans.reconstruct import reconstruct
-from emberline.sources import files
 
 TRIPS = "key string, at double, errors int"
 
@@ -150,26 +148,6 @@ def quota(calls: DataFrame, per_hour: int = 10, per_day: int = 200) -> DataFrame
         carried = new
 
 
-def reporter(services: DataFrame, service_edges: DataFrame, out: str, burst: dict | None = None, settle: float = 5, most: int = 1200) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: reconstruct incidents and write their documents under ``out``.
-
-    Without ``burst`` each incident of the batch; with it (the arguments of ``trips``) only what tripped: for each
-    trip of a batch's incident the newest ``most`` of its events once settled.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        if burst is not None:
-            batch = graph.cut(batch)
-            errors = batch.where(F.upper("level").isin("ERROR", "CRITICAL", "FATAL")).select(F.col("incident_key").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-            held = settled(batch.withColumn("key", F.col("incident_key")), trips(errors, **burst), settle, most)
-            batch = graph.cut(held.withColumn("incident_key", F.concat_ws("@", "incident_key", F.col("at").cast("long").cast("string"))).select(*batch.columns))
-        if not batch.isEmpty():
-            star = reconstruct(batch, services, service_edges)
-            files.write_documents(star, f"{out}/batch={number}")
-
-    return write
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything that a stream gives of what there is now, written to the shared folder and read back."""
     spark = stream.sparkSession

@@ -49,12 +49,3 @@ def test_code_graph_round_trip(spark, tmp_path):
     modules = spark.createDataFrame([("s", 0, "m", "module", None, [], 3, 0, 0, 0, False)], "service string, ord int, name string, kind string, stage string, defs array<string>, loc int, fan_in int, fan_out int, blast_radius int, in_cycle boolean")
     files.write_code_graphs({"modules": modules}, str(tmp_path / "g"))
     assert files.read_code_graphs(spark, str(tmp_path / "g"))["modules"].first()["name"] == "m"
-
-
-def test_reporter_writes_documents(spark, tmp_path):
-    from tests.test_incidents import SCHEMA, event
-
-    services = spark.createDataFrame([("api", True)], "service string, user_facing boolean")
-    edges = spark.createDataFrame([], "service string, dependency string, ord int")
-    watch.reporter(services, edges, str(tmp_path))(spark.createDataFrame([event(1, "log", "api", 0, "broke", "ERROR")], SCHEMA), 7)
-    assert '"incident_id":"INC-20240501' in spark.read.text(str(tmp_path / "batch=7")).first()["value"]
