@@ -16,7 +16,9 @@ IGNORED_HOSTS = [
     "json-schema.org", "example.com", "sentry.io", "googleapis.com", "internal.com", "openai.com", "api.openai.com", "anthropic.com",
     "api.anthropic.com", "elevenlabs.io", "backblazeb2.com",
 ]
-FRONTEND_HINTS = ["frontend", "webapp", "web-app", "ui", "spa", "portal"]
+#: Names and packages that tell of a frontend (fixed values).
+FRONTEND_HINTS = ["frontend", "front-end", "webapp", "web-app", "ui", "www", "client"]
+FRONTEND_PACKAGES = ["react", "vue", "next", "@angular/core", "svelte"]
 
 
 def compose_services(lines: DataFrame) -> DataFrame:
@@ -67,20 +69,43 @@ def is_frontend(name):
     return X.has_any(name, FRONTEND_HINTS)
 
 
-def without_frontend_targets(edges: DataFrame) -> DataFrame:
-    """Nothing depends on a frontend."""
-    return edges.where(~is_frontend("dependency"))
+def frontends(names: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """(service): the frontends among ``names``: by their own name, or by what their ``package.json`` depends on.
+
+    ``manifests`` has (service, content). A manifest that is no JSON tells nothing.
+    """
+    named = names.where(is_frontend("service")).select("service").distinct()
+    if manifests is None:
+        return named
+    doc = F.try_parse_json("content")
+    keys = lambda part: F.coalesce(F.map_keys(F.try_variant_get(doc, f"$.{part}", "map<string,variant>")), F.array().cast("array<string>"))
+    packages = F.array_union(keys("dependencies"), keys("devDependencies"))
+    told = manifests.where(F.arrays_overlap(packages, F.array(*map(F.lit, FRONTEND_PACKAGES)))).select("service")
+    return named.union(told.join(names.select("service"), "service", "left_semi")).distinct()
+
+
+def without_frontend_targets(edges: DataFrame, frontend: DataFrame | None = None) -> DataFrame:
+    """Nothing depends on a frontend: one of ``frontend`` (service), or one that is called so."""
+    if frontend is None:
+        return edges.where(~is_frontend("dependency"))
+    return edges.join(frontend.select(F.col("service").alias("dependency")), "dependency", "left_anti").select(*edges.columns)
 
 
-def architecture(names: DataFrame, edges: DataFrame, calls: DataFrame) -> DataFrame:
+def architecture(names: DataFrame, edges: DataFrame, calls: DataFrame, manifests: DataFrame | None = None, internals: DataFrame | None = None) -> DataFrame:
     """(service, depends_on, user_facing, owner): every service with its sorted dependencies, and a node for each outside host.
 
-    ``edges`` (service, dependency) are inside the system, ``calls`` (service, host, node) go out of it.
+    ``edges`` (service, dependency) are inside the system, ``calls`` (service, host, node) go out of it, ``manifests``
+    (service, content) are package files. With ``internals`` (service, internals), the pipelines found in the services'
+    files, rows have them too.
     """
-    inner = without_frontend_targets(edges.join(names.select(F.col("service").alias("dependency")), "dependency", "left_semi"))
+    frontend = frontends(names, manifests)
+    inner = without_frontend_targets(edges.join(names.select(F.col("service").alias("dependency")), "dependency", "left_semi"), frontend)
     every = inner.select("service", "dependency").union(calls.select("service", F.col("node"))).where("service <> dependency")
     deps = every.groupBy("service").agg(F.array_sort(F.collect_set("dependency")).alias("depends_on"))
     none = F.array().cast("array<string>")
-    own = names.select("service").distinct().join(deps, "service", "left").select("service", F.coalesce("depends_on", none).alias("depends_on"), is_frontend("service").alias("user_facing"), F.lit(None).cast("string").alias("owner"))
+    facing = frontend.withColumn("facing", F.lit(True))
+    own = names.select("service").distinct().join(deps, "service", "left").join(facing, "service", "left")
+    own = own.select("service", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("facing", F.lit(False)).alias("user_facing"), F.lit(None).cast("string").alias("owner"))
     outside = calls.groupBy("node").agg(F.max("host").alias("host")).select(F.col("node").alias("service"), none.alias("depends_on"), F.lit(False).alias("user_facing"), F.concat(F.lit("external · "), "host").alias("owner"))
-    return own.unionByName(outside)
+    every = own.unionByName(outside)
+    return every if internals is None else every.join(internals, "service", "left")

@@ -55,11 +55,27 @@ def c11_named_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.named_services(configs(spark, sf_dir), adapters.services(spark, sf_dir))
 
 
-@query("SELECT service, dependency FROM (SELECT service, CASE WHEN dependency = 'svc-05' THEN 'web-portal' ELSE dependency END AS dependency FROM service_edges) WHERE dependency <> 'web-portal'")
+#: Suppliers as services with all kinds of names: some of a frontend's, some alike.
+NAMED = "CASE {0} % 11 WHEN 0 THEN 'front-end-' WHEN 1 THEN 'www-' WHEN 2 THEN 'web-client-' WHEN 3 THEN 'my-portal-' WHEN 4 THEN 'spa-' WHEN 5 THEN 'Shop_UI-' WHEN 6 THEN 'webapp-' WHEN 7 THEN 'web-app-' WHEN 8 THEN 'frontend-' ELSE 'api-' END || CAST({0} AS VARCHAR(20))"
+S.STEPS["named_edges"] = f"SELECT {NAMED.format('src')} AS service, {NAMED.format('dst')} AS dependency, dst FROM edges"
+#: Package files of every fifth supplier: some depend on a frontend's package, some are broken.
+MANIFEST = """CASE {0} % 4 WHEN 0 THEN '{{"dependencies": {{"react": "^18"}}}}' WHEN 1 THEN '{{"devDependencies": {{"svelte": "4", "x": "1"}}}}' WHEN 2 THEN '{{"dependencies": {{"express": "4", "reactor": "1"}}}}' ELSE '{{"dependencies": {{"vue": ' END"""
+HINTED = "regexp_matches(lower({}), 'frontend|front-end|webapp|web-app|ui|www|client')"
+
+
+def named_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n, e = links(spark, sf_dir)
+    own = F.expr(NAMED.format("node"))
+    manifests = n.where("node % 5 = 0").select(own.alias("service"), F.expr(MANIFEST.format("node")).alias("content"))
+    return graph.clean(e).select(F.expr(NAMED.format("src")).alias("service"), F.expr(NAMED.format("dst")).alias("dependency")), manifests
+
+
+@query(f"SELECT service, dependency FROM named_edges WHERE NOT {HINTED.format('dependency')} AND NOT (dst % 5 = 0 AND dst % 4 IN (0, 1))")
 def c13_frontend_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One service is called a portal: no edge may lead to it."""
-    edges = adapters.service_edges(spark, sf_dir).select("service", F.when(F.col("dependency") == "svc-05", "web-portal").otherwise(F.col("dependency")).alias("dependency"))
-    return discover.without_frontend_targets(edges)
+    """No edge leads to a frontend, known by its name or by what its package file depends on."""
+    edges, manifests = named_edges(spark, sf_dir)
+    names = edges.select("service").union(edges.select("dependency")).distinct()
+    return discover.without_frontend_targets(edges, discover.frontends(names, manifests))
 
 
 @query("SELECT service FROM services UNION SELECT DISTINCT 'src-' || source FROM documents UNION SELECT dependency FROM service_edges")
@@ -125,6 +141,29 @@ def d7_g3_module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.module_edges(f, code.resolve(f)).select("src", "dst", "kind", F.array_join("symbols", ",").alias("symbols"), "count")
 
 
+#: Files of each supplier with calls of every form, and what each leads to.
+SHAPES_SQL = r"""
+SELECT 's' || CAST(node AS STRING) AS service, path, replace(content, '#', CAST(node AS STRING)) AS content FROM nodes n, (
+  SELECT 'lib/base.py' AS path, 'class Base#:\n    def go(self):\n        return self.stay()\n    @classmethod\n    def make(cls):\n        return cls.go()\n    def stay(self):\n        pass\n\ndef plain():\n    pass\n' AS content
+  UNION ALL SELECT 'lib/other.py', 'VALUE = 1\n'
+  UNION ALL SELECT 'lib/__init__.py', ''
+  UNION ALL SELECT 'app.py', 'import lib.base as b\nimport lib.other as o\nfrom lib import other as mod\nfrom lib.base import Base#, plain as p\nfrom lib.other import missing\nimport os\n\ndef run#():\n    x = Base#()\n    x.go()\n    y = b.Base#()\n    y.stay()\n    y.nothing()\n    b.plain()\n    p()\n    o.anything()\n    mod.func()\n    missing()\n    os.getcwd()\n    b.Base#.make()\n    unknown()\n\nrun#()\n'
+) f
+"""
+S.STEPS["shapes"] = """SELECT 's' || node AS service, replace(src, '#', CAST(node AS VARCHAR)) AS src, replace(dst, '#', CAST(node AS VARCHAR)) AS dst, kind FROM nodes, (VALUES
+  ('lib.base.Base#.go', 'lib.base.Base#.stay', 'call'), ('lib.base.Base#.make', 'lib.base.Base#.go', 'call'), ('app.run#', 'lib.base.Base#', 'construct'), ('app.run#', 'lib.base.Base#.go', 'call'),
+  ('app.run#', 'lib.base.Base#', 'construct'), ('app.run#', 'lib.base.Base#.stay', 'call'), ('app.run#', 'lib.base.plain', 'call'), ('app.run#', 'lib.base.plain', 'call'),
+  ('app.run#', 'lib.other', 'call'), ('app.run#', 'lib.other', 'call'), ('app.run#', 'lib.other', 'call'), ('app', 'app.run#', 'call')) v(src, dst, kind)"""
+
+
+@query("SELECT service, src, dst, kind FROM shapes")
+def j2_call_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls through self and cls, of a local of a known class, through an alias, of a module for want of a symbol; others lead nowhere."""
+    sources = adapters.sql(spark, SHAPES_SQL, nodes=links(spark, sf_dir)[0])
+    f = graph.cut(code.facts(code.source_files(sources)))
+    return code.resolve(f).select("service", F.col("caller").alias("src"), F.col("target").alias("dst"), "kind")
+
+
 @query("SELECT 'pkg/m' || node || '.py' AS path FROM (SELECT node, row_number() OVER (ORDER BY 'pkg/m' || node || '.py') AS n FROM nodes) WHERE n <= 40")
 def j3_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.source_files(files(spark, sf_dir), per_service=40).select("path")

@@ -46,8 +46,8 @@ def test_kinds_and_roles(spark):
     rows = spark.createDataFrame([("a.model", [], True), ("a.step", [], True), ("a.b", ["AuthMiddleware"], False), ("a.routes", [], False), ("a.env", [], False), ("a.factory", [], False), ("a.adapter", [], False)], "m string, defs array<string>, s boolean")
     got = [r[0] for r in rows.select(code.module_kind("m", F.col("s"), "defs")).collect()]
     assert got == ["client", "graph-node", "middleware", "endpoint", "config", "client", "module"]
-    symbols = spark.createDataFrame([("x", "function", "module", ["app.head"]), ("load_env", "function", "module", []), ("plain", "function", "module", [])], "n string, k string, mk string, d array<string>")
-    assert [r[0] for r in symbols.select(code.symbol_role("n", "k", "mk", "d")).collect()] == ["endpoint", "config", "logic"]
+    symbols = spark.createDataFrame([("x", "function", "module", ["app.head"]), ("load_env", "function", "module", []), ("plain", "function", "module", []), ("plain", "function", "module", ["x.other", "unit.Test"])], "n string, k string, mk string, d array<string>")
+    assert [r[0] for r in symbols.select(code.symbol_role("n", "k", "mk", "d")).collect()] == ["endpoint", "config", "logic", "test"]
 
 
 def test_failing_symbol(spark):
@@ -152,3 +152,32 @@ def test_settled(spark):
     for r in watch.settled(events, tripped, 5, 20, block=30).collect():
         got.setdefault((r["key"], r["at"] - start), []).append(r["seq"])
     assert {k: sorted(v) for k, v in got.items()} == {("a", 100.0): list(range(66, 106, 2)), ("a", 6.0): [0, 2, 4, 6, 8, 10], ("b", 0.0): [1]}
+
+
+CALLS = {
+    "a/__init__.py": "",
+    "a/b.py": "def go():\n    pass\n\nclass Thing:\n    def run(self):\n        def inner():\n            self.stop()\n        inner()\n    def stop(self):\n        pass\n",
+    "use.py": "from a import b\nfrom a.b import thing, Thing as T\nimport a.b as q\n\ndef f(x):\n    thing()\n    q.none()\n    b.go()\n    x = T()\n    x.stop()\n    x.gone()\n    x = q.go()\n    x.run()\n    a.b.go()\n\nclass C:\n    def m(self):\n        self.absent()\n        x.stop()\n",
+}
+
+
+def test_calls_that_lead_to_modules_and_typed_names(spark):
+    files = spark.createDataFrame([("s", p, c) for p, c in CALLS.items()], "service string, path string, content string")
+    f = graph.cut(code.facts(code.source_files(files)))
+    found = sorted((r["caller"], r["target"], r["kind"]) for r in code.resolve(f).collect())
+    assert found == sorted([
+        ("a.b.Thing.run", "a.b.Thing.stop", "call"), ("use.f", "a.b", "call"), ("use.f", "a.b", "call"), ("use.f", "a.b.go", "call"), ("use.f", "a.b.go", "call"),
+        ("use.f", "a.b.Thing", "construct"), ("use.f", "a.b.Thing.stop", "call"), ("use.f", "a.b.Thing.run", "call"),
+    ])
+
+
+def test_frontends_by_name_and_by_package(spark):
+    from emberline.operators import discover
+
+    names = spark.createDataFrame([(n,) for n in ("front-end-x", "www-x", "web-client", "shop_UI", "my-portal", "spa-x", "admin", "api", "bad")], "service string")
+    files = [("admin", '{"devDependencies": {"@angular/core": "17"}}'), ("api", '{"dependencies": {"reactive": "1"}, "react": 1}'), ("bad", "{"), ("my-portal", "[1]"), ("spa-x", '{"dependencies": ["react"]}'), ("elsewhere", '{"dependencies": {"react": "1"}}')]
+    manifests = spark.createDataFrame(files, "service string, content string")
+    assert {r[0] for r in discover.frontends(names, manifests).collect()} == {"front-end-x", "www-x", "web-client", "shop_UI", "admin"}
+    edges = spark.createDataFrame([("api", "admin"), ("api", "my-portal"), ("admin", "api")], "service string, dependency string")
+    rows = {r["service"]: (r["depends_on"], r["user_facing"]) for r in discover.architecture(names, edges, spark.createDataFrame([], "service string, host string, node string"), manifests).collect()}
+    assert rows["api"] == (["my-portal"], False) and rows["admin"] == (["api"], True)
