@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.text import LEVELS
+from emberline.operators.graph import cut
 
 # The line formats, and the keys that structured lines use.
 STAMP = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,6})?"
@@ -17,6 +18,8 @@ TIME_KEYS = ["timestamp", "time", "ts", "asctime", "@timestamp", "datetime"]
 LEVEL_KEYS = ["level", "levelname", "severity", "loglevel"]
 MESSAGE_KEYS = ["message", "msg", "event", "detail", "text"]
 LOGGER_KEYS = ["logger", "name", "logger_name", "module"]
+#: Lines of a block that is gone over by itself.
+BLOCK = 4096
 #: Everything that ends a line.
 BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -66,15 +69,21 @@ def parsed(rows: DataFrame, line: str) -> DataFrame:
 def events(lines: DataFrame) -> DataFrame:
     """Lines (service, file, modified, line_no, value) to log events of each service, numbered over its files in order.
 
-    A line without a time takes the last one before it in its service, else its file's time of modification.
+    A line without a time takes the last one before it in its service, else its file's time of modification. Lines are
+    parsed once and kept in the checkpoint folder, as they are gone over twice.
     """
-    found = parsed(lines, "value").where("p is not null")
-    w = Window.partitionBy("service").orderBy("file", "line_no")
-    known = F.last("p.ts", ignorenulls=True).over(w)
+    found = cut(parsed(lines, "value").where("p is not null").drop("value").withColumn("block", F.floor(F.col("line_no") / BLOCK)))
+    # blocks of lines are gone over apart, then their results, of which there are few, in order
+    key = ["service", "file", "block"]
+    inner = Window.partitionBy(*key).orderBy("line_no")
+    found = found.withColumns({"own": F.last("p.ts", ignorenulls=True).over(inner), "nth": F.row_number().over(inner)})
+    timed = F.when(F.col("p.ts").isNotNull(), F.col("line_no"))
+    blocks = found.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max_by("p.ts", timed).alias("last"), F.min_by("modified", "line_no").alias("modified"))
+    every = Window.partitionBy("service").orderBy("file", "block")
+    before = every.rowsBetween(Window.unboundedPreceding, -1)
     # a file without any time so far gives its own time to the lines that follow, in later files too
-    first = F.first("modified").over(w)
-    n = F.row_number().over(w)
-    rows = found.withColumns({"at": F.coalesce(known, first), "n": n})
+    scanned = blocks.select(*key, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("passed"), F.coalesce(F.last("last", ignorenulls=True).over(before), F.first("modified").over(every)).alias("carried"))
+    rows = found.join(scanned, key).withColumns({"at": F.coalesce("own", "carried"), "n": F.col("passed") + F.col("nth")})
     detail = F.when(F.col("p.logger") != "", F.concat("p.message", F.lit(" ["), "p.logger", F.lit("]"))).otherwise(F.col("p.message"))
     ident = F.concat("service", F.lit("-log-"), F.when(F.col("n") < 100000, F.lpad(F.col("n").cast("string"), 5, "0")).otherwise(F.col("n").cast("string")))
     return rows.select(ident.alias("id"), F.lit("log").alias("source_type"), F.col("service").alias("source"), F.col("at").alias("ts"), detail.alias("detail"), F.col("p.level").alias("level"), "file", F.col("p.logger").alias("logger"), "n")

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text as X
 
-#: Rounds of labels in a pass, and passes, of the search for rings. They bound its work and not the result: the closure joins rings left apart.
-HOPS, PASSES = 16, 3
+#: Rounds of labels, and of trimming, in a pass of the search for rings; the first doubles where a pass finds none. They bound a pass and not the result.
+HOPS, TRIMS = 16, 2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``, or one of our own where it names none."""
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``. Only a session in one process may have one of our own instead."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -57,26 +60,10 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(inn, "node", "left").join(out, "node", "left").select("node", F.coalesce("fan_in", zero).alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst): every pair with a path of one edge or more, by rounds that double the path length.
-
-    The result itself has up to n^2 rows; it is for graphs of services and modules, not of documents.
-    """
-    paths = cut(edges.select("src", "dst").distinct())
-    n = paths.count()
-    while True:
-        two = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        new = cut(paths.union(two).distinct())
-        m = new.count()
-        if m == n:
-            return new
-        paths, n = new, m
-
-
-def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that leads to each within ``HOPS`` edges, itself included."""
+def least_labels(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(node, label): the least node that leads to each within ``hops`` edges, itself included."""
     labels = nodes.select("node", F.col("node").alias("label"))
-    for _ in range(HOPS):
+    for _ in range(hops):
         near = edges.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("near"))
         new = cut(labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         labels = new.select("node", "label")
@@ -85,66 +72,186 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def rings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, ring): nodes of one ring reach one another. Two rings may do so too, where the bounds ended the search early."""
-    found, n, e = [], nodes, edges
-    for _ in range(PASSES):
-        down, up = least_labels(n, e), least_labels(n, e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found.append(cut(down.join(up, ["node", "label"]).select("node", F.col("label").alias("ring"))))
-        n = cut(n.join(found[-1], "node", "left_anti"))
-        e = cut(known_edges(n, e))
-        if e.isEmpty():
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def rings(edges: DataFrame, hops: int) -> DataFrame:
+    """(node, ring): nodes that reach one another, named by one of them, as far as ``hops`` edges show; nodes alone have no row."""
+    n = nodes_of(edges)
+    down, up = least_labels(n, edges, hops), least_labels(n, turned(edges), hops)
+    return cut(down.join(up, ["node", "label"]).where("node <> label").select("node", F.col("label").alias("ring")))
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without those of nodes that no edge leads to, or that none leaves, ``TRIMS`` times at most: they are on no cycle."""
+    m = edges.count()
+    for _ in range(TRIMS):
+        live = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
+        edges = cut(known_edges(live, edges))
+        n = edges.count()
+        if n == m:
             break
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return nodes.join(every, "node", "left").select("node", F.coalesce("ring", "node").alias("ring"))
+        m = n
+    return edges
 
 
-def condensed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, cluster, size) of every node, and (src, dst) of the clusters that reach one another.
+def unary(edges: DataFrame) -> DataFrame:
+    """(node, prev, next): nodes that one edge leads to and one leaves."""
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("prev"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("next"))
+    return into.where("i = 1").join(out.where("o = 1"), "node").select("node", "prev", "next")
 
-    A cluster is a strongly connected group, named by its least node. Rings are folded before the closure, so a
-    group costs its edges and not the square of its nodes; the closure then joins what the rings left apart.
+
+def followed(chain: DataFrame, to: str, weight: str | None = None) -> DataFrame:
+    """(node, end, total, low, ring) of unary nodes: the first node that isn't unary, the weights of those before it, its own too, and the least of them.
+
+    Every round doubles how far each has gone. ``ring``: there is no end; the least is then that of the ring.
+    """
+    w = F.col(weight) if weight else F.lit(0).cast("long")
+    now = cut(chain.select("node", F.col(to).alias("end"), w.alias("total"), F.col("node").alias("low")))
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        far = now.select(F.col("node").alias("end"), F.col("end").alias("e2"), F.col("total").alias("t2"), F.col("low").alias("l2"))
+        new = cut(now.join(far, "end", "left").select("node", F.coalesce("e2", "end").alias("end"), (F.col("total") + F.coalesce("t2", F.lit(0))).alias("total"), F.least("low", "l2").alias("low"), F.col("e2").isNotNull().alias("moved")))
+        now = new.select("node", "end", "total", "low")
+        if new.where("moved").isEmpty():
+            break
+    return now.join(chain.select(F.col("node").alias("end"), F.lit(True).alias("more")), "end", "left").select("node", "end", "total", "low", F.coalesce("more", F.lit(False)).alias("ring"))
+
+
+def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, cluster, size): strongly connected groups, named by their least node.
+
+    Nodes on no cycle are trimmed, chains of unary nodes become an edge, and rings that a bounded search finds become
+    a node, until no edge is left; no pair of nodes that reach one another is made. Then what became of each node is
+    followed back: a chain's node is of the group of its ends, if that is one.
     """
-    n, e = cut(nodes.select("node").distinct()), cut(known_edges(nodes, edges))
-    ring = cut(rings(n, e))
-    a, b = ring.toDF("src", "rs"), ring.toDF("dst", "rd")
-    reach = closure(e.join(a, "src").join(b, "dst").where("rs <> rd").select(F.col("rs").alias("src"), F.col("rd").alias("dst")))
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy(F.col("src").alias("ring")).agg(F.min("dst").alias("m"))
-    top = cut(ring.join(mutual, "ring", "left").select("node", "ring", F.least("ring", "m").alias("top")))
+    e, steps, hops = cut(known_edges(nodes, edges)), [], HOPS
+    left = e.count()
+    while True:
+        e = trimmed(e)
+        n, left = left, e.count()
+        if not left:
+            break
+        chain = cut(unary(e))
+        if not chain.isEmpty():
+            ahead, back = followed(chain, "next"), followed(chain, "prev")
+            ends = cut(ahead.select("node", F.col("end").alias("t"), "low", "ring").join(back.select("node", F.col("end").alias("h")), "node"))
+            steps.append(("ring", ends.where("ring and node <> low").select("node", F.col("low").alias("ring"))))
+            steps.append(("hung", ends.where("not ring").select("node", "h", "t")))
+            kept = e.join(chain.select(F.col("node").alias("src")), "src", "left_anti").join(chain.select(F.col("node").alias("dst")), "dst", "left_anti")
+            e = cut(clean(kept.select("src", "dst").union(ends.where("not ring").select("h", "t"))))
+            continue
+        if left < n:
+            continue  # trimming goes on
+        found = rings(e, hops)
+        if found.isEmpty():
+            hops *= 2
+            continue
+        steps.append(("ring", found))
+        a, b = found.toDF("src", "ra"), found.toDF("dst", "rb")
+        e = cut(clean(e.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("ra", "src").alias("src"), F.coalesce("rb", "dst").alias("dst"))))
+    held = nodes.select("node", F.col("node").alias("top")).limit(0)
+    for kind, step in reversed(steps):
+        if kind == "ring":
+            new = step.join(held.toDF("ring", "g"), "ring", "left").select("node", F.coalesce("g", "ring").alias("top"))
+        else:
+            both = step.join(held.toDF("h", "gh"), "h", "left").join(held.toDF("t", "gt"), "t", "left").select("node", F.coalesce("gh", "h").alias("a"), F.coalesce("gt", "t").alias("b"))
+            new = both.where("a = b").select("node", F.col("a").alias("top"))
+        held = cut(held.union(new))
+    top = cut(nodes.select("node").distinct().join(held, "node", "left").select("node", F.coalesce("top", "node").alias("top")))
     named = top.groupBy("top").agg(F.min("node").alias("cluster"), F.count(F.lit(1)).alias("size"))
-    held = cut(top.join(named, "top").select("node", "ring", "cluster", "size"))
-    of = held.select("ring", "cluster").distinct()
-    x, y = of.toDF("src", "cs"), of.toDF("dst", "cd")
-    between = cut(reach.join(x, "src").join(y, "dst").where("cs <> cd").select(F.col("cs").alias("src"), F.col("cd").alias("dst")).distinct())
-    return held.select("node", "cluster", "size"), between
+    return cut(top.join(named, "top").select("node", "cluster", "size"))
+
+
+def folded(member: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst): the edges between the groups of ``member``."""
+    a, b = member.select(F.col("node").alias("src"), F.col("cluster").alias("cs")), member.select(F.col("node").alias("dst"), F.col("cluster").alias("cd"))
+    return cut(clean(edges.join(a, "src").join(b, "dst").select(F.col("cs").alias("src"), F.col("cd").alias("dst"))))
+
 
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``number``, from 0 in the order of ``by``: ranges are counted, then each is numbered by itself."""
+    ranged = cut(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+    starts, total = [], 0
+    for r in ranged.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        starts.append((r["part"], total))
+        total += r["count"]
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1 + F.col("base")
+    based = rows.sparkSession.createDataFrame(starts, "part int, base bigint")
+    return ranged.join(F.broadcast(based), "part").withColumn("number", at).drop("part", "base")
 
-def radii_of(nodes: DataFrame, member: DataFrame, between: DataFrame) -> DataFrame:
-    size = member.select(F.col("cluster").alias("src"), "size").distinct()
-    above = between.join(size, "src").groupBy(F.col("dst").alias("cluster")).agg(F.sum("size").alias("above"))
-    found = member.join(above, "cluster", "left").select("node", (F.coalesce("above", F.lit(0).cast("long")) + F.col("size") - 1).alias("blast_radius"))
-    return nodes.select("node").join(found, "node")
+
+def dependents(member: DataFrame, between: DataFrame) -> DataFrame:
+    """(cluster, above): how many nodes depend on each group from outside. ``between`` has the edges of a graph without cycles.
+
+    A chain of unary groups counts as one node, whose own groups then differ by those before them. The others are
+    taken level by level, each once: a node's dependents are a set of bits, and it sends them, with its own bits, along
+    its edges to the levels below. Only levels are gone through one after the other, and no pair of nodes is made.
+    """
+    spark = member.sparkSession
+    place = chained(between, member.select(F.col("cluster").alias("node"), "size").distinct())
+    edges = onto(between, place)
+    every = place.select(F.col("p").alias("node")).distinct()
+    roots = every.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    level = furthest(edges.withColumn("whole", F.lit(1)), roots)
+    depth = level.agg(F.max("level")).first()[0] or 0
+    # nodes of one level have numbers near one another, so that sets are few blocks of bits
+    own = member.select("node", "cluster").join(place.select(F.col("node").alias("cluster"), "p"), "cluster").join(level.toDF("p", "level"), "p")
+    bits = numbered(own.select("level", "p", "node"), "level", "p", "node")
+    bits = cut(bits.groupBy("level", "p", F.shiftright("number", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("number").bitwiseAND(F.lit(32767))).alias("bits")))
+    to = cut(edges.join(level.toDF("dst", "to_level"), "dst"))
+    sent = f"{shared_dir(spark)}/dependents_{uuid.uuid4().hex}"
+    kinds = f"p {dict(member.dtypes)['cluster']}, block bigint, bits binary"
+    found = None
+    for n in range(depth + 1):
+        got = spark.createDataFrame([], kinds) if n == 0 else spark.read.schema(kinds).parquet(f"{sent}/*/to_level={n}")
+        got = cut(got.groupBy("p", "block").agg(F.bitmap_or_agg("bits").alias("bits")))
+        here = got.groupBy("p").agg(F.sum(F.bitmap_count("bits")).alias("above"))
+        found = here if found is None else found.union(here)
+        whole = got.union(bits.where(F.col("level") == n).select("p", "block", "bits")).groupBy("p", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        if n < depth:
+            on = whole.join(to, F.col("p") == F.col("src")).select(F.col("dst").alias("p"), "block", "bits", "to_level")
+            on.write.partitionBy("to_level").parquet(f"{sent}/from={n}")
+    return place.join(found, "p", "left").select(F.col("node").alias("cluster"), (F.coalesce("above", F.lit(0)) + F.col("before")).alias("above"))
+
+
+def radii_of(nodes: DataFrame, member: DataFrame, edges: DataFrame) -> DataFrame:
+    found = member.join(dependents(member, folded(member, known_edges(nodes, edges))), "cluster")
+    return nodes.select("node").join(found.select("node", (F.col("above") + F.col("size") - 1).alias("blast_radius")), "node")
 
 
 def blast_radii(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, blast_radius): how many other known nodes depend on it, directly or not (edges run from user to used)."""
-    return radii_of(nodes, *condensed(nodes, edges))
+    return radii_of(nodes, groups(nodes, edges), edges)
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cluster, size, node): strongly connected groups of two nodes or more, named by their least node; self loops are groups of one of their own."""
-    member = condensed(nodes, edges)[0].where("size > 1")
+    member = groups(nodes, edges).where("size > 1")
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(nodes, "node", "left_semi")
     return member.select("cluster", "size", "node").union(loops.select("node", F.lit(1).cast("long"), "node"))
 
 
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(service, modules, edges, in_cycles, clusters) of each service, and of all under the name ``all``, in one pass over what they have.
+
+    ``nodes`` has (node, service); an edge is of its source's service. A cluster of several services counts in each.
+    """
+    own = nodes.select("node", "service")
+    none = F.lit(None).cast(dict(nodes.dtypes)["node"])
+    lines = own.select("service", F.lit("modules").alias("what"), none.alias("cluster"))
+    lines = lines.union(known_edges(nodes, edges).withColumnRenamed("src", "node").join(own, "node").select("service", F.lit("edges"), none))
+    lines = lines.union(groups(nodes, edges).where("size > 1").join(own, "node").select("service", F.lit("in cycles"), "cluster"))
+    many = lambda what: F.count(F.when(F.col("what") == what, 1)).alias(what.replace(" ", "_"))
+    rolled = lines.rollup("service").agg(many("modules"), many("edges"), many("in cycles"), F.count_distinct("cluster").alias("clusters"), F.grouping("service").alias("total"))
+    return rolled.select(F.when(F.col("total") == 1, "all").otherwise(F.col("service")).alias("service"), "modules", "edges", "in_cycles", "clusters")
+
+
 def structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, fan_in, fan_out, blast_radius, in_cycle)."""
-    member, between = condensed(nodes, edges)
-    out = degrees(nodes, edges).join(radii_of(nodes, member, between), "node").join(member, "node")
+    member = groups(nodes, edges)
+    out = degrees(nodes, edges).join(radii_of(nodes, member, edges), "node").join(member, "node")
     return out.select("node", "fan_in", "fan_out", "blast_radius", (F.col("size") > 1).alias("in_cycle"))
 
 
@@ -175,27 +282,60 @@ def impact_edges(edges: DataFrame, node: DataFrame) -> DataFrame:
     return clean(edges).join(a, "src").join(b, "dst").where("da > db").select("src", "dst")
 
 
-def longest_levels(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
-    """(node, level): the greatest number of edges on a way from ``start``, at most ``rounds`` (on a cycle the way would never end)."""
-    level = cut(start.select("node", F.lit(0).alias("level")))
-    front = level
-    for n in range(1, rounds + 1):
-        step = edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.lit(n).alias("level")).distinct()
-        if (front := cut(step)).isEmpty():
-            break
-        level = cut(level.union(front).groupBy("node").agg(F.max("level").alias("level")))
-    return level
+def chained(edges: DataFrame, size: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+    """(node, p, before, whole): the chain of unary nodes that each node of ``size`` (node, size) is in, or itself, what lies before it there, and the chain's whole size.
+
+    Nodes of ``apart`` are in no chain. ``edges`` have no cycle.
+    """
+    chain = unary(edges) if apart is None else unary(edges).join(apart, "node", "left_anti")
+    chain = cut(chain.join(size, "node"))
+    if chain.isEmpty():
+        return size.select("node", F.col("node").alias("p"), F.lit(0).cast("long").alias("before"), F.col("size").alias("whole"))
+    ahead, back = followed(chain, "next", "size"), followed(chain, "prev", "size")
+    inner = ahead.select("node", F.col("low").alias("l"), F.col("total").alias("after")).join(back, "node").join(size, "node")
+    inner = inner.select("node", F.least("l", "low").alias("p"), (F.col("total") - F.col("size")).alias("before"), (F.col("total") + F.col("after") - F.col("size")).alias("whole"))
+    one = size.join(inner.select("node"), "node", "left_anti").select("node", F.col("node").alias("p"), F.lit(0).cast("long").alias("before"), F.col("size").alias("whole"))
+    return cut(inner.union(one))
+
+
+def onto(edges: DataFrame, place: DataFrame) -> DataFrame:
+    """(src, dst): the edges between the chains of ``place``."""
+    a, b = place.select(F.col("node").alias("src"), F.col("p").alias("ps")), place.select(F.col("node").alias("dst"), F.col("p").alias("pd"))
+    return cut(clean(edges.join(a, "src").join(b, "dst").select(F.col("ps").alias("src"), F.col("pd").alias("dst"))))
+
+
+def longest_levels(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, level): the greatest number of edges on a way from ``start``, in a graph without cycles. A chain of unary nodes is gone along in one round."""
+    begin = start.select("node").distinct()
+    place = chained(edges, nodes_of(edges).union(begin).distinct().withColumn("size", F.lit(1).cast("long")), begin)
+    far = cut(onto(edges, place).join(place.select(F.col("p").alias("src"), "whole").distinct(), "src"))
+    known = furthest(far, begin)
+    return place.join(known.withColumnRenamed("node", "p"), "p").select("node", (F.col("level") + F.col("before")).cast("int").alias("level"))
+
+
+def furthest(far: DataFrame, begin: DataFrame) -> DataFrame:
+    """(node, level): the greatest sum of ``whole`` over the edges ``far`` (src, dst, whole) of a way from ``begin`` (node)."""
+    known = cut(begin.withColumn("level", F.lit(0).cast("long")))
+    front = known
+    while True:
+        step = far.join(front, F.col("src") == F.col("node")).groupBy("dst").agg(F.max(F.col("level") + F.col("whole")).alias("new"))
+        front = cut(step.join(known, F.col("dst") == F.col("node"), "left").where("level is null or new > level").select(F.col("dst").alias("node"), F.col("new").alias("level")))
+        if front.isEmpty():
+            return known
+        known = cut(known.union(front).groupBy("node").agg(F.max("level").alias("level")))
 
 
 def tiers(nodes: DataFrame, edges: DataFrame, user_facing: DataFrame) -> DataFrame:
     """(node, tier): the longest way from a user-facing service; services above known ones lie one further; the rest last.
 
-    On a cycle a way may have as many edges as there are nodes, no more. Services above are taken in passes in the
+    Services on a cycle count as one and lie in one tier. Services above are taken in passes in the
     services' order (``seq`` of ``nodes``, else their names), and one sees what was found before it in the same pass:
     it joins in the first pass in which it knows a dependency, and lies one beyond the furthest that it knows then.
     """
     e = cut(known_edges(nodes, edges))
-    below = longest_levels(e, user_facing, nodes.count())
+    member = groups(nodes, e)
+    first = user_facing.select("node").join(member, "node").select(F.col("cluster").alias("node"))
+    below = cut(member.join(longest_levels(folded(member, e), first).toDF("cluster", "level"), "cluster").select("node", "level"))
     order = nodes.select("node", (F.col("seq") if "seq" in nodes.columns else F.col("node")).alias("seq"))
     a, b = order.toDF("src", "sa"), order.toDF("dst", "sb")
     up = cut(e.join(a, "src").join(b, "dst").join(below.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", "sa", "sb"))
@@ -227,9 +367,9 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataF
     held = cycles(nodes, e).where("size > 1").select("node", "cluster")
     group = cut(nodes.join(held, "node", "left").select("node", F.coalesce("cluster", "node").alias("g")))
     a, b = group.toDF("src", "gs"), group.toDF("dst", "gd")
-    folded = cut(e.join(a, "src").join(b, "dst").where("gs <> gd").select(F.col("gs").alias("src"), F.col("gd").alias("dst")).distinct())
-    roots = group.select(F.col("g").alias("node")).distinct().join(folded.select(F.col("dst").alias("node")), "node", "left_anti")
-    level = longest_levels(folded, roots, nodes.count()).toDF("g", "raw")
+    inner = cut(e.join(a, "src").join(b, "dst").where("gs <> gd").select(F.col("gs").alias("src"), F.col("gd").alias("dst")).distinct())
+    roots = group.select(F.col("g").alias("node")).distinct().join(inner.select(F.col("dst").alias("node")), "node", "left_anti")
+    level = longest_levels(inner, roots).toDF("g", "raw")
     found = group.join(level, "g")
     high = found.agg(F.max("raw").alias("high"))
     pressed = F.when(F.col("high") > top, F.bround(F.col("raw") * float(top) / F.col("high")).cast("int")).otherwise(F.col("raw"))

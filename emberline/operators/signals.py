@@ -150,7 +150,11 @@ def correlate(changes: DataFrame, origin: DataFrame, settings: Settings = Settin
 
 def bursts(telemetry: DataFrame, count: int = 3, window: float = 90) -> DataFrame:
     """Error rows at which a source has had ``count`` or more errors within ``window`` seconds, both ends included."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("source").orderBy("at").rangeBetween(-int(window * 1e6), 0)
-    rows = telemetry.where(error_level()).withColumn("at", micros).withColumn("errors", F.count(F.lit(1)).over(w))
-    return rows.where(F.col("errors") >= count).select("id", "source", "ts", "errors")
+    micros, width = F.unix_micros(F.col("ts").cast("timestamp")), int(window * 1e6)
+    rows = telemetry.where(error_level()).select("id", "source", "ts", micros.alias("at"))
+    # a row counts in its own stretch of time and in the next, so that no source's errors meet in one task
+    own = F.floor(F.col("at") / max(1, width))
+    rows = rows.select("*", own.alias("own"), F.explode(F.array(own, own + 1)).alias("stretch"))
+    w = Window.partitionBy("source", "stretch").orderBy("at").rangeBetween(-width, 0)
+    rows = rows.withColumn("errors", F.count(F.lit(1)).over(w))
+    return rows.where((F.col("stretch") == F.col("own")) & (F.col("errors") >= count)).select("id", "source", "ts", "errors")

@@ -77,12 +77,15 @@ def h10_dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependency_levels(*links(spark, sf_dir))
 
 
-S.STEPS["tier_walk"] = "SELECT service AS node, 0 AS lv FROM services WHERE user_facing UNION SELECT e.dependency, lv + 1 FROM tier_walk w JOIN service_edges e ON e.service = w.node WHERE lv < (SELECT count(*) FROM services)"
+S.STEPS["service_reach"] = "SELECT service AS src, dependency AS dst FROM service_edges UNION SELECT r.src, e.dependency FROM service_reach r JOIN service_edges e ON e.service = r.dst"
+S.STEPS["service_group"] = "SELECT s.service, coalesce(least(s.service, min(a.dst)), s.service) AS g FROM services s LEFT JOIN (SELECT x.src, x.dst FROM service_reach x JOIN service_reach y ON x.src = y.dst AND x.dst = y.src) a ON a.src = s.service GROUP BY s.service"
+S.STEPS["group_edges"] = "SELECT DISTINCT a.g AS src, b.g AS dst FROM service_edges e JOIN service_group a ON a.service = e.service JOIN service_group b ON b.service = e.dependency WHERE a.g <> b.g"
+S.STEPS["tier_walk"] = "SELECT g AS node, 0 AS lv FROM service_group JOIN services USING (service) WHERE user_facing UNION SELECT e.dst, lv + 1 FROM tier_walk w JOIN group_edges e ON e.src = w.node"
 
 
-@query("SELECT node, max(lv) AS tier FROM tier_walk GROUP BY node UNION ALL SELECT service, (SELECT max(lv) FROM tier_walk) + 1 FROM services WHERE service NOT IN (SELECT node FROM tier_walk)")
+@query("SELECT s.service AS node, coalesce(max(lv), (SELECT max(lv) FROM tier_walk) + 1) AS tier FROM service_group s LEFT JOIN tier_walk w ON w.node = s.g GROUP BY s.service")
 def h9_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every service is below the user-facing one, two of them on a cycle."""
+    """Every service is below the user-facing one, two of them on a cycle, which is one tier."""
     services = adapters.services(spark, sf_dir)
     edges = adapters.service_edges(spark, sf_dir).select(F.col("service").alias("src"), F.col("dependency").alias("dst"))
     return graph.tiers(services.select(F.col("service").alias("node")), edges, services.where("user_facing").select(F.col("service").alias("node")))
@@ -109,6 +112,17 @@ def d12_summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count("services", adapters.services(spark, sf_dir)).union(count("nodes", n)).union(count("edges", graph.clean(e))).union(count("clusters", clusters))
 
 
+S.STEPS["graph_things"] = """SELECT 'n' || (node % 25) AS service, 'modules' AS what, node AS a, 0 AS b, CAST(NULL AS BIGINT) AS cluster FROM nodes
+  UNION ALL SELECT 'n' || (src % 25), 'edges', src, dst, NULL FROM edges UNION ALL SELECT 'n' || (node % 25), 'in cycles', node, 0, cluster FROM mutual"""
+
+
+@query("SELECT coalesce(service, 'all') AS service, count(*) FILTER (what = 'modules') AS modules, count(*) FILTER (what = 'edges') AS edges, count(*) FILTER (what = 'in cycles') AS in_cycles, count(DISTINCT cluster) AS clusters FROM graph_things GROUP BY ROLLUP (service)")
+def d12_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules, edges and cycles of each service, and of all."""
+    n, e = links(spark, sf_dir)
+    return graph.summary(n.withColumn("service", F.concat(F.lit("n"), (F.col("node") % 25).cast("string"))), e)
+
+
 # ---------------------------------------------------------------- replay
 
 S.STEPS["touched"] = "SELECT DISTINCT incident_key, idx, ts, CASE severity WHEN 'warning' THEN 1 WHEN 'critical' THEN 2 ELSE 3 END AS rank, unnest(services) AS service FROM timeline WHERE severity <> 'info'"

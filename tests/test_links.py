@@ -5,6 +5,7 @@ from itertools import pairwise
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberline.operators import graph
 from emberline.sources import adapters
@@ -21,10 +22,9 @@ def test_links_come_from_every_order(spark):
     assert {tuple(r) for r in adapters.supplier_links(spark, SF).select("src", "dst").collect()} == want
 
 
-@pytest.mark.parametrize(("hops", "passes"), [(16, 3), (1, 1)])
-def test_structure_equals_a_walk(spark, monkeypatch, hops, passes):
+@pytest.mark.parametrize("hops", [16, 1])
+def test_structure_equals_a_walk(spark, monkeypatch, hops):
     monkeypatch.setattr(graph, "HOPS", hops)
-    monkeypatch.setattr(graph, "PASSES", passes)
     rng = random.Random(4)
     ring = [5, 17, 3, 11, 8, 19]
     edges = {*zip(ring, ring[1:] + ring[:1]), (1, 5), (19, 20), (20, 21), (21, 20), (21, 22), (22, 22), (30, 31), *((rng.randint(40, 55), rng.randint(40, 55)) for _ in range(22))}
@@ -45,3 +45,37 @@ def test_structure_equals_a_walk(spark, monkeypatch, hops, passes):
     size = {n: list(group.values()).count(group[n]) for n in nodes}
     assert {r["node"]: (r["blast_radius"], r["in_cycle"]) for r in graph.structure(v, e).collect()} == {n: (radius[n], size[n] > 1) for n in nodes}
     assert {tuple(r) for r in graph.cycles(v, e).collect()} == {(group[n], size[n], n) for n in nodes if size[n] > 1} | {(s, 1, s) for s, d in edges if s == d}
+
+
+def test_a_long_chain_and_a_ring_take_few_rounds(spark, monkeypatch):
+    n, made, cut = 100_000, [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(1) or cut(df))
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    e = e.union(spark.createDataFrame([(500_000 + k, 500_000 + (k + 1) % 3000) for k in range(3000)] + [(n, 600_000), (600_000, 600_001)], "src long, dst long"))
+    v = graph.nodes_of(e)
+    found = graph.structure(v, e)
+    want = F.when(F.col("node") >= 600_000, F.col("node") - 600_000 + n + 1).when(F.col("node") >= 500_000, 2999).otherwise(F.col("node"))
+    assert found.where(F.col("blast_radius") != want).count() == 0 and found.where("in_cycle").count() == 3000
+    assert found.count() == n + 1 + 3000 + 2 and len(made) < 150
+
+
+def test_radii_of_a_layered_graph(spark):
+    rng = random.Random(7)
+    edges = {(a, b) for layer in range(7) for b in range((layer + 1) * 100, (layer + 2) * 100) for a in rng.sample(range(layer * 100, (layer + 1) * 100), 2)}
+    edges |= {(a, b) for layer in range(6) for b in range((layer + 2) * 100, (layer + 2) * 100 + 9) for a in rng.sample(range(layer * 100, (layer + 1) * 100), 1)}
+    above = {}
+    for b in range(800):
+        above[b] = set().union(*({a} | above[a] for a, x in edges if x == b)) if b >= 100 else set()
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    v = spark.createDataFrame([(k,) for k in range(800)], "node long")
+    assert {r["node"]: r["blast_radius"] for r in graph.blast_radii(v, e).collect()} == {k: len(x) for k, x in above.items()}
+
+
+def test_tiers_with_a_cycle_take_few_checkpoints(spark, monkeypatch):
+    made, cut = [], graph.cut
+    edges = [(0, k) for k in range(1, 40)] + [(k, 40) for k in range(1, 40)] + [(40, 41), (41, 42), (42, 40), (42, 43), (43, 44)]
+    e, v = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(k,) for k in range(45)], "node long")
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(1) or cut(df))
+    got = {r["node"]: r["tier"] for r in graph.tiers(v, e, v.where("node = 0")).collect()}
+    assert got == {0: 0, **{k: 1 for k in range(1, 40)}, 40: 2, 41: 2, 42: 2, 43: 3, 44: 4}
+    assert len(made) < 60
