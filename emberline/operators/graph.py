@@ -60,27 +60,30 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(inn, "node", "left").join(out, "node", "left").select("node", F.coalesce("fan_in", zero).alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"))
 
 
-def least_labels(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(node, label): the least node that leads to each within ``hops`` edges, itself included."""
+def least_labels(nodes: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, bool]:
+    """(node, label): the least node that leads to each within ``hops`` edges, itself included; and whether more edges would change nothing."""
     labels = nodes.select("node", F.col("node").alias("label"))
     for _ in range(hops):
         near = edges.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("near"))
         new = cut(labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         labels = new.select("node", "label")
         if new.where("label <> was").isEmpty():
-            break
-    return labels
+            return labels, True
+    return labels, False
 
 
 def turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def rings(edges: DataFrame, hops: int) -> DataFrame:
-    """(node, ring): nodes that reach one another, named by one of them, as far as ``hops`` edges show; nodes alone have no row."""
+def marks(edges: DataFrame, hops: int) -> tuple[DataFrame, bool]:
+    """(node, down, up): the least node that leads to each, and that it leads to, within ``hops`` edges; and whether that is all.
+
+    Where both are one node, all that have it reach one another. Nodes that reach one another have the same two marks, once that is all.
+    """
     n = nodes_of(edges)
-    down, up = least_labels(n, edges, hops), least_labels(n, turned(edges), hops)
-    return cut(down.join(up, ["node", "label"]).where("node <> label").select("node", F.col("label").alias("ring")))
+    (down, a), (up, b) = least_labels(n, edges, hops), least_labels(n, turned(edges), hops)
+    return cut(down.withColumnRenamed("label", "down").join(up.withColumnRenamed("label", "up"), "node")), a and b
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -144,9 +147,14 @@ def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             continue
         if left < n:
             continue  # trimming goes on
-        found = rings(e, hops)
+        marked, settled = marks(e, hops)
+        found = cut(marked.where("down = up and node <> down").select("node", F.col("down").alias("ring")))
         if found.isEmpty():
-            hops *= 2
+            if settled:  # what lies between rings holds them together: edges between different marks are on no cycle
+                a, b = marked.toDF("src", "da", "ua"), marked.toDF("dst", "db", "ub")
+                e = cut(e.join(a, "src").join(b, "dst").where("da = db and ua = ub").select("src", "dst"))
+            else:
+                hops *= 2
             continue
         steps.append(("ring", found))
         a, b = found.toDF("src", "ra"), found.toDF("dst", "rb")
