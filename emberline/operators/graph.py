@@ -106,20 +106,24 @@ def unary(edges: DataFrame) -> DataFrame:
     return into.where("i = 1").join(out.where("o = 1"), "node").select("node", "prev", "next")
 
 
-def followed(chain: DataFrame, to: str, weight: str | None = None) -> DataFrame:
-    """(node, end, total, low, ring) of unary nodes: the first node that isn't unary, the weights of those before it, its own too, and the least of them.
+def followed(chain: DataFrame, weight: str | None = None) -> DataFrame:
+    """(node, head, tail, before, after, low, ring) of unary nodes: the nearest nodes before and behind that aren't unary, the weights up to each, the node's own too, and the least node gone past.
 
-    Every round doubles how far each has gone. ``ring``: there is no end; the least is then that of the ring.
+    Both ways are gone at once, and every round doubles how far. ``ring``: there is no end; the least is then that of the ring.
     """
     w = F.col(weight) if weight else F.lit(0).cast("long")
-    now = cut(chain.select("node", F.col(to).alias("end"), w.alias("total"), F.col("node").alias("low")))
-    for _ in range(max(1, now.count()).bit_length() + 1):
-        far = now.select(F.col("node").alias("end"), F.col("end").alias("e2"), F.col("total").alias("t2"), F.col("low").alias("l2"))
-        new = cut(now.join(far, "end", "left").select("node", F.coalesce("e2", "end").alias("end"), (F.col("total") + F.coalesce("t2", F.lit(0))).alias("total"), F.least("low", "l2").alias("low"), F.col("e2").isNotNull().alias("moved")))
-        now = new.select("node", "end", "total", "low")
+    way = lambda n, to: chain.select("node", F.lit(n).alias("way"), F.col(to).alias("end"), w.alias("total"), F.col("node").alias("low"))
+    now = cut(way(0, "prev").union(way(1, "next")))
+    for _ in range(max(1, now.count()).bit_length()):
+        far = now.select(F.col("node").alias("end"), "way", F.col("end").alias("e2"), F.col("total").alias("t2"), F.col("low").alias("l2"))
+        new = cut(now.join(far, ["end", "way"], "left").select("node", "way", F.coalesce("e2", "end").alias("end"), (F.col("total") + F.coalesce("t2", F.lit(0))).alias("total"), F.least("low", "l2").alias("low"), F.col("e2").isNotNull().alias("moved")))
+        now = new.select("node", "way", "end", "total", "low")
         if new.where("moved").isEmpty():
             break
-    return now.join(chain.select(F.col("node").alias("end"), F.lit(True).alias("more")), "end", "left").select("node", "end", "total", "low", F.coalesce("more", F.lit(False)).alias("ring"))
+    now = now.join(chain.select(F.col("node").alias("end"), F.lit(True).alias("more")), "end", "left")
+    one = lambda n, end, total, low: now.where(F.col("way") == n).select("node", F.col("end").alias(end), F.col("total").alias(total), F.col("low").alias(low), F.col("more").alias(f"more{n}"))
+    both = one(0, "head", "before", "l0").join(one(1, "tail", "after", "l1"), "node")
+    return cut(both.select("node", "head", "tail", "before", "after", F.least("l0", "l1").alias("low"), F.coalesce("more1", F.lit(False)).alias("ring")))
 
 
 def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,12 +142,11 @@ def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         chain = cut(unary(e))
         if not chain.isEmpty():
-            ahead, back = followed(chain, "next"), followed(chain, "prev")
-            ends = cut(ahead.select("node", F.col("end").alias("t"), "low", "ring").join(back.select("node", F.col("end").alias("h")), "node"))
+            ends = followed(chain)
             steps.append(("ring", ends.where("ring and node <> low").select("node", F.col("low").alias("ring"))))
-            steps.append(("hung", ends.where("not ring").select("node", "h", "t")))
+            steps.append(("hung", ends.where("not ring").select("node", F.col("head").alias("h"), F.col("tail").alias("t"))))
             kept = e.join(chain.select(F.col("node").alias("src")), "src", "left_anti").join(chain.select(F.col("node").alias("dst")), "dst", "left_anti")
-            e = cut(clean(kept.select("src", "dst").union(ends.where("not ring").select("h", "t"))))
+            e = cut(clean(kept.select("src", "dst").union(ends.where("not ring").select("head", "tail"))))
             continue
         if left < n:
             continue  # trimming goes on
@@ -299,9 +302,8 @@ def chained(edges: DataFrame, size: DataFrame, apart: DataFrame | None = None) -
     chain = cut(chain.join(size, "node"))
     if chain.isEmpty():
         return size.select("node", F.col("node").alias("p"), F.lit(0).cast("long").alias("before"), F.col("size").alias("whole"))
-    ahead, back = followed(chain, "next", "size"), followed(chain, "prev", "size")
-    inner = ahead.select("node", F.col("low").alias("l"), F.col("total").alias("after")).join(back, "node").join(size, "node")
-    inner = inner.select("node", F.least("l", "low").alias("p"), (F.col("total") - F.col("size")).alias("before"), (F.col("total") + F.col("after") - F.col("size")).alias("whole"))
+    inner = followed(chain, "size").join(size, "node")
+    inner = inner.select("node", F.col("low").alias("p"), (F.col("before") - F.col("size")).alias("before"), (F.col("before") + F.col("after") - F.col("size")).alias("whole"))
     one = size.join(inner.select("node"), "node", "left_anti").select("node", F.col("node").alias("p"), F.lit(0).cast("long").alias("before"), F.col("size").alias("whole"))
     return cut(inner.union(one))
 
