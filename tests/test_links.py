@@ -48,7 +48,7 @@ def test_structure_equals_a_walk(spark, monkeypatch, hops):
 
 
 def test_a_long_chain_and_a_ring_take_few_rounds(spark, monkeypatch):
-    n, made, cut = 20_000, [], graph.cut
+    n, made, cut = 3000, [], graph.cut
     monkeypatch.setattr(graph, "cut", lambda df: made.append(1) or cut(df))
     e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     e = e.union(spark.createDataFrame([(500_000 + k, 500_000 + (k + 1) % 300) for k in range(300)] + [(n, 600_000), (600_000, 600_001)], "src long, dst long"))
