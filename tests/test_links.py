@@ -47,30 +47,6 @@ def test_structure_equals_a_walk(spark, monkeypatch, hops):
     assert {tuple(r) for r in graph.cycles(v, e).collect()} == {(group[n], size[n], n) for n in nodes if size[n] > 1} | {(s, 1, s) for s, d in edges if s == d}
 
 
-def test_a_long_chain_and_a_ring_take_few_rounds(spark, monkeypatch):
-    n, made, cut = 3000, [], graph.cut
-    monkeypatch.setattr(graph, "cut", lambda df: made.append(1) or cut(df))
-    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    e = e.union(spark.createDataFrame([(500_000 + k, 500_000 + (k + 1) % 300) for k in range(300)] + [(n, 600_000), (600_000, 600_001)], "src long, dst long"))
-    v = graph.nodes_of(e)
-    found = graph.structure(v, e)
-    want = F.when(F.col("node") >= 600_000, F.col("node") - 600_000 + n + 1).when(F.col("node") >= 500_000, 299).otherwise(F.col("node"))
-    assert found.where(F.col("blast_radius") != want).count() == 0 and found.where("in_cycle").count() == 300
-    assert found.count() == n + 1 + 300 + 2 and len(made) < 120
-
-
-def test_radii_of_a_layered_graph(spark):
-    rng = random.Random(7)
-    edges = {(a, b) for layer in range(7) for b in range((layer + 1) * 100, (layer + 2) * 100) for a in rng.sample(range(layer * 100, (layer + 1) * 100), 2)}
-    edges |= {(a, b) for layer in range(6) for b in range((layer + 2) * 100, (layer + 2) * 100 + 9) for a in rng.sample(range(layer * 100, (layer + 1) * 100), 1)}
-    above = {}
-    for b in range(800):
-        above[b] = set().union(*({a} | above[a] for a, x in edges if x == b)) if b >= 100 else set()
-    e = spark.createDataFrame(sorted(edges), "src long, dst long")
-    v = spark.createDataFrame([(k,) for k in range(800)], "node long")
-    assert {r["node"]: r["blast_radius"] for r in graph.blast_radii(v, e).collect()} == {k: len(x) for k, x in above.items()}
-
-
 def test_tiers_with_a_cycle_take_few_checkpoints(spark, monkeypatch):
     made, cut = [], graph.cut
     edges = [(0, k) for k in range(1, 40)] + [(k, 40) for k in range(1, 40)] + [(40, 41), (41, 42), (42, 40), (42, 43), (43, 44)]
