@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions import attributes as A
 from emberline.functions import text as X
 from emberline.operators.signals import Settings
 
@@ -40,7 +41,8 @@ def facts(classified: DataFrame, anomalies: DataFrame, signals: DataFrame, origi
     rows = classified.groupBy("incident_key").agg(F.max(F.coalesce(F.col("signal") == "recovery", F.lit(False))).alias("r1"), F.max(F.col("source_type") == "metric").alias("has_metric"), F.max(audit).alias("has_audit"), F.count(F.lit(1)).alias("n_events"))
     odd = anomalies.groupBy("incident_key").agg(F.max("recovered").alias("r2"), F.max(F.col("name").rlike("backlog|depth|queue")).alias("backlog"))
     # evidence rows of the origin's signal that are model-policy rejections
-    held = o.select("incident_key", F.explode("origin_evidence").alias("id")).join(classified.select("incident_key", "id", "ts", "seq", "detail"), ["incident_key", "id"]).where(X.is_policy_rejection("detail"))
+    said = (A.searched("detail", "attributes") if "attributes" in classified.columns else F.col("detail")).alias("said")
+    held = o.select("incident_key", F.explode("origin_evidence").alias("id")).join(classified.select("incident_key", "id", "ts", "seq", said), ["incident_key", "id"]).where(X.is_policy_rejection("said"))
     policy = held.groupBy("incident_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "id"))), lambda x: x["id"]).alias("policy_ids"))
     out = o.join(change, "incident_key", "left").join(i, "incident_key", "left").join(impact_texts(impact, anomalies), "incident_key", "left")
     for more in (steps, rows, odd, policy):

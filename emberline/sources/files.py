@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberline.functions import attributes as A
 from emberline.functions import lines as L
 
-EVENT = "id string, source_type string, source string, timestamp string, detail string, attributes map<string,string>"
+EVENT = "id string, source_type string, source string, timestamp string, detail string, attributes variant"
 ARCHITECTURE = "system string, services array<struct<name:string,owner:string,depends_on:array<string>,user_facing:boolean,internals:struct<entry:string,stages:array<struct<name:string,modules:array<string>,description:string>>,edges:array<array<string>>>>>"
 MODULE = "name:string,kind:string,stage:string,defs:array<string>,loc:int,fan_in:int,fan_out:int,blast_radius:int,in_cycle:boolean"
 EDGE = "src:string,dst:string,kind:string,symbols:array<string>,count:int"
@@ -24,13 +25,17 @@ def folder_of_file() -> Column:
 
 
 def read_scenarios(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Event files, each a JSON array, to telemetry; the folder names the incident. Malformed files give no row."""
+    """Event files, each a JSON array, to telemetry; the folder names the incident, ``seq`` is the place in its file. Malformed files give no row.
+
+    ``attributes`` keeps every attribute with its type; a metric's value is one only where it is a number.
+    """
     rows = spark.read.schema(EVENT).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
-    w = F.monotonically_increasing_id()
+    # a file of this form is read by one task, in order
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), folder_of_file().alias("incident_key")).withColumn("n", F.monotonically_increasing_id())
     a = F.col("attributes")
     return rows.select(
-        folder_of_file().alias("incident_key"), w.alias("seq"), "id", "source_type", "source", L.instant(F.col("timestamp")).alias("ts"), "detail",
-        a["level"].alias("level"), a["logger"].alias("logger"), a["metric"].alias("metric"), a["value"].try_cast("double").alias("value"), a["unit"].alias("unit"),
+        "incident_key", (F.col("n") - F.min("n").over(Window.partitionBy("file"))).alias("seq"), "id", "source_type", "source", L.instant(F.col("timestamp")).alias("ts"), "detail",
+        A.text(a, "level").alias("level"), A.text(a, "logger").alias("logger"), A.text(a, "metric").alias("metric"), A.number(a, "value").alias("value"), A.text(a, "unit").alias("unit"), "attributes",
     )
 
 
@@ -38,9 +43,9 @@ def scenario_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_scenarios(spark, paths).select("incident_key").distinct()
 
 
-def read_architectures(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
-    """Services, their edges, stages and stage edges of each architecture file."""
-    services = spark.read.schema(ARCHITECTURE).option("multiLine", True).json(paths).select(folder_of_file().alias("incident_key"), "system", F.posexplode("services").alias("pos", "s"))
+def read_architectures(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> dict[str, DataFrame]:
+    """Services, their edges, stages and stage edges of each architecture file; a file is one document, or with ``multiline`` off one a line."""
+    services = spark.read.schema(ARCHITECTURE).option("multiLine", multiline).json(paths).select(folder_of_file().alias("incident_key"), "system", F.posexplode("services").alias("pos", "s"))
     flat = services.select("incident_key", "system", "pos", F.col("s.name").alias("service"), F.col("s.owner").alias("owner"), F.coalesce("s.user_facing", F.lit(False)).alias("user_facing"), "s")
     inner = flat.where("s.internals is not null")
     return {
@@ -76,10 +81,21 @@ def write_code_graphs(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def read_logs(spark: SparkSession, paths: str | list[str], sources: DataFrame) -> DataFrame:
-    """Lines of log files with their service: ``sources`` has (service, pattern), a pattern of LIKE on the file's path; bytes that are no UTF-8 are replaced."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.to_timestamp_ntz(F.col("_metadata.file_modification_time").cast("string")).alias("modified"), "value")
-    named = files.join(sources, F.expr("file like pattern"))
-    return named.select("service", "file", "modified", F.posexplode(F.split("value", L.BREAKS)).alias("line_no", "value"))
+    """Lines of log files with their service: (service, file, modified, line_no, value); bytes that are no UTF-8 are replaced.
+
+    ``sources`` has (service, pattern), a pattern of LIKE on the file's path; it is matched once a file. Files are read
+    by splits, so that a large one keeps many tasks busy. The lines of a split are numbered where they are read, without
+    a shuffle; a second narrow reading counts those of the splits before.
+    """
+    read = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("time"), "value")
+    # the reader ends lines at \n, \r and both; the other ends are looked for in what it gives
+    lines = read.select("file", "block", "time", F.explode(F.split(F.make_valid_utf8("value"), L.BREAKS)).alias("value")).withColumn("n", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("size"), F.min("time").alias("time"))
+    before = F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0)))
+    owners = blocks.select("file").distinct().join(sources, F.expr("file like pattern")).select("file", "service")
+    placed = blocks.join(owners, "file").withColumn("modified", F.to_timestamp_ntz(F.col("time").cast("string"))).drop("time", "size")
+    return lines.drop("time").join(placed, ["file", "block"]).select("service", "file", "modified", (F.col("n") - F.col("first") + F.col("before")).alias("line_no"), "value")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tabl
 #: One of each kind; the driver compares all of them.
 SOME = [
     "b1_b2_metric_fields", "b5_b7_parse", "b8_e4_e5_log_events", "b14_gate", "b20_offending_value", "e1_e3_anomalies", "k1_classify", "d3_failure_signals", "c1_change_correlation",
-    "h1_propagation", "k2_timeline", "k3_f2_hypotheses", "k5_actions", "b22_b25_texts", "h7_e12_trace", "h4_cycles", "h10_dependency_levels", "c14_state_as_of", "e11_compose", "j2_resolved_calls", "d9_catalog_facts",
+    "b1_b2_b4_attributes", "a6_log_files", "a8_tail", "a2_architectures", "h1_propagation", "k2_timeline", "k3_f2_hypotheses", "k5_actions", "b22_b25_texts", "h7_e12_trace", "h4_cycles", "h10_dependency_levels", "c14_state_as_of", "e11_compose", "j2_resolved_calls", "d9_catalog_facts",
 ]
 
 
