@@ -38,9 +38,9 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def upto_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = adapters.telemetry(spark, sf_dir)
-    found = signals.anomalies(rows)
-    classified = signals.classify(rows, signals.first_trouble(rows, found))
-    return classified, found, signals.failure_signals(classified, found, SETTINGS)
+    found = graph.cut(signals.anomalies(rows))
+    classified = signals.classify(rows, graph.cut(signals.first_trouble(rows, found)))
+    return classified, found, graph.cut(signals.failure_signals(classified, found, SETTINGS))
 
 
 def ids(column: str = "evidence_ids"):

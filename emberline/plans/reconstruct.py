@@ -27,13 +27,15 @@ class Star(dict):
 
 
 def reconstruct(telemetry: DataFrame, services: DataFrame, service_edges: DataFrame, settings: Settings = Settings(), system: str = "platform") -> Star:
-    """The tables of all incidents by name. One row a service and incident, and one an incident, are computed once
-    and kept in the checkpoint folder: they are small beside the telemetry and all that follows reads them."""
+    """The tables of all incidents by name. Anomalies, one row a service and incident, and one an incident, are computed
+    once and kept in the checkpoint folder: they are small beside the telemetry and all that follows reads them. Then
+    ``classified`` is the telemetry with a column more, read where it is used, with only the columns that are used."""
     architecture = lambda: telemetry.where("source_type = 'architecture'").groupBy("incident_key").agg(F.array(F.min_by("id", F.struct("ts", "seq"))).alias("arch_ids"))
     return Star(
         {
-            "anomalies": lambda s: signals.anomalies(telemetry),
-            "classified": lambda s: signals.classify(telemetry, signals.first_trouble(telemetry, s["anomalies"])),
+            "anomalies": lambda s: graph.cut(signals.anomalies(telemetry)),
+            "trouble": lambda s: graph.cut(signals.first_trouble(telemetry, s["anomalies"])),
+            "classified": lambda s: signals.classify(telemetry, s["trouble"]),
             "signals": lambda s: graph.cut(signals.failure_signals(s["classified"], s["anomalies"], settings)),
             "origins": lambda s: signals.origins(s["signals"]),
             "changes": lambda s: signals.correlate(s["classified"].where("signal = 'change'"), s["origins"], settings),
