@@ -20,6 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one thread
 CHUNK_CHARS = 1 << 20
 #: Entries of one memo generation.
 MEMO_ENTRIES = 500_000
+#: Characters of the longest piece that is remembered beyond its batch, so that entries bound a memo's bytes too.
+MEMO_CHARS = 64
 #: Pieces that the library encodes in one text.
 LEARN = 128
 
@@ -73,10 +75,18 @@ def safe_pieces(parts: list[str], led: bool) -> Iterator[tuple[str, bool]]:
 
 
 class Memo(dict):
-    """A dictionary with an older generation: what is found there moves back to the newer one."""
+    """A dictionary with an older generation: what is found there moves back to the newer one.
+
+    Pieces of over MEMO_CHARS characters, as of texts without spaces, are dropped at the next ``trim``: a generation
+    holds at most ``entries`` short pieces and what one batch added.
+    """
 
     def __init__(self, entries: int = MEMO_ENTRIES):
-        self.entries, self.old = entries, {}
+        self.entries, self.old, self.long = entries, {}, []
+
+    def note(self, new) -> None:
+        """Tell of the pieces about to be learned."""
+        self.long += [p for p in new if len(p) > MEMO_CHARS]
 
     def promote(self, key):
         if (v := self.old.get(key)) is not None:
@@ -84,6 +94,9 @@ class Memo(dict):
         return v
 
     def trim(self) -> None:
+        for p in self.long:
+            self.pop(p, None)
+        self.long.clear()
         if len(self) > self.entries:
             self.old = dict(self)
             self.clear()
@@ -130,6 +143,7 @@ class ByteBpe:
     def _meet(self, new: set[str]) -> None:
         """Put all of ``new`` that stand between safe cuts into the memo."""
         memo, match = self.memo, PLAIN.match
+        memo.note(new)
         rest = []
         for p in new:
             if memo.promote(p) is not None:
@@ -139,6 +153,7 @@ class ByteBpe:
                 v = (memo.get(word) or memo.promote(word)) if end or line else None
                 if v is None:
                     v = memo[word] = self._word(SPACE, word)
+                    memo.note((word,))
                 if end:
                     v += self.ends[end]
                 if line:
@@ -202,6 +217,7 @@ class ByteBpe:
         plain = lambda p, s: s and " " not in p and p and _visible(p[0]) and _visible(p[-1])
         memo = self.memo
         if new := [p for p in dict.fromkeys(p for p, s in pieces if plain(p, s)) if memo.get(p) is None and memo.promote(p) is None]:
+            memo.note(new)
             self._learn(new)
         rest = [(" " if s else "") + p for p, s in pieces if not plain(p, s)]
         ids = iter(self._ids(rest)) if rest else iter(())
@@ -248,6 +264,7 @@ class WordCounter:
         got = list(map(memo.get, flat))
         if miss := [i for i, v in enumerate(got) if v is None]:
             if new := [p for p in {flat[i] for i in miss} if memo.promote(p) is None]:
+                memo.note(new)
                 self._learn(new)
             for i in miss:
                 got[i] = memo[flat[i]]

@@ -71,6 +71,19 @@ def test_piecewise_ids_are_the_librarys():
             tokens.CHUNK_CHARS = old
 
 
+def test_memo_is_bounded_by_bytes():
+    """Texts without spaces, and long words, leave nothing behind; counts and ids are the library's all the same."""
+    rng = random.Random(5)
+    wide = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000)) + " und " + "q" * rng.randint(65, 400) + ". x" for _ in range(60)]
+    counter, bpe = tokens.WordCounter(WORDS), tokens.ByteBpe(BPE)
+    for _ in range(2):  # again, when nothing of it is remembered
+        assert list(counter.counts(wide)) == [len(e.ids) for e in counter.t.encode_batch(wide, add_special_tokens=False)]
+        assert [x.tolist() for x in bpe.encode(wide)] == [e.ids for e in bpe.t.encode_batch(wide, add_special_tokens=False)]
+        for memo in (counter.memo, bpe.memo):
+            memo.trim()
+            assert memo and max(map(len, [*memo, *memo.old])) <= tokens.MEMO_CHARS
+
+
 def test_memo_stays_bounded():
     m = tokens.Memo(3)
     for n in range(20):
