@@ -38,6 +38,6 @@ def facts(fact: DataFrame, hypotheses: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def manifest_summary(manifests: DataFrame, key: str, steps: str, sets: Mapping[str, str]) -> DataFrame:
-    """(key, step_count, sets...): how many steps a manifest has, and the sorted different values of some of their fields."""
-    distinct = lambda f: F.array_sort(F.array_distinct(F.filter(F.transform(steps, lambda s: s[f]), lambda v: v.isNotNull())))
+    """(key, step_count, sets...): how many steps a manifest has, and the sorted different values of some of their fields, none of them null or empty."""
+    distinct = lambda f: F.array_sort(F.array_distinct(F.filter(F.transform(steps, lambda s: s[f]), lambda v: F.coalesce(v != "", F.lit(False)))))
     return manifests.select(key, F.size(steps).cast("long").alias("step_count"), *(distinct(f).alias(name) for name, f in sets.items()))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import lines as L
+from emberline.functions import text as X
 
 SOURCE_TYPES = ["architecture", "deployment", "log", "metric"]
 
@@ -76,3 +77,13 @@ def intake(texts: DataFrame, key: str, text: str, characters: int = 20_000, rows
     lines = texts.where(F.length(text) <= characters).select(key, F.posexplode(F.split(text, L.BREAKS)).alias("pos", "value")).where("trim(value) <> ''")
     w = Window.partitionBy(key).orderBy("pos")
     return lines.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select(key, "n", "value")
+
+
+def parsed_intake(texts: DataFrame, key: str, text: str, modified: Column, characters: int = 20_000, rows: int = 400) -> DataFrame:
+    """Pasted texts to log events, as from a file of their lines: each text is a service whose name is its key made safe.
+
+    ``modified`` is the time of lines before the first that has one. Texts of keys with one safe name are one service's.
+    Texts that are too long, empty or null have no event.
+    """
+    lines = intake(texts, key, text, characters, rows)
+    return L.events(lines.select(X.safe_name(F.col(key)).alias("service"), F.lit("input.log").alias("file"), modified.alias("modified"), F.col("n").alias("line_no"), "value"))

@@ -135,11 +135,14 @@ def hypotheses(fact: DataFrame, architecture_ids: DataFrame | None = None) -> Da
 
 
 def silent_services(classified: DataFrame, fact: DataFrame, services: DataFrame) -> DataFrame:
-    """(incident_key, silent): services of the architecture without any event in an incident, joined by commas."""
-    heard = classified.select("incident_key", F.col("source").alias("service")).distinct()
-    every = fact.select("incident_key", F.lit(1).alias("one")).join(services.select("service", F.lit(1).alias("one")).distinct(), "one")
-    quiet = every.join(heard, ["incident_key", "service"], "left_anti")
-    return quiet.groupBy("incident_key").agg(F.array_join(F.array_sort(F.collect_list("service")), ", ").alias("silent"))
+    """(incident_key, silent): services of the architecture without any event in an incident, joined by commas.
+
+    The architecture's names are one row, as each answer may list nearly all of them; what an incident heard is a set of names.
+    """
+    names = services.agg(F.array_sort(F.collect_set("service"))).scalar()
+    heard = classified.groupBy("incident_key").agg(F.collect_set("source").alias("heard"))
+    quiet = fact.select("incident_key").join(heard, "incident_key", "left").select("incident_key", F.array_except(names, F.coalesce("heard", F.array().cast("array<string>"))).alias("quiet"))
+    return quiet.where(F.size("quiet") > 0).select("incident_key", F.array_join("quiet", ", ").alias("silent"))
 
 
 def missing_evidence(fact: DataFrame, silent: DataFrame, audited: DataFrame | None = None) -> DataFrame:

@@ -32,12 +32,12 @@ def query(sql: str | None = None, steps: bool = True):
     return add
 
 
-def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return reconstruct(adapters.telemetry(spark, sf_dir), adapters.services(spark, sf_dir), adapters.service_edges(spark, sf_dir), SETTINGS, SYSTEM)
+def star(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> dict[str, DataFrame]:
+    return reconstruct(adapters.telemetry(spark, sf_dir) if rows is None else rows, adapters.services(spark, sf_dir), adapters.service_edges(spark, sf_dir), SETTINGS, SYSTEM)
 
 
-def upto_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = adapters.telemetry(spark, sf_dir)
+def upto_signals(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = adapters.telemetry(spark, sf_dir) if rows is None else rows
     found = graph.cut(signals.anomalies(rows))
     classified = signals.classify(rows, graph.cut(signals.first_trouble(rows, found)))
     return classified, found, graph.cut(signals.failure_signals(classified, found, SETTINGS))
@@ -372,3 +372,34 @@ def k8_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, table in (("hypotheses", "hypotheses"), ("gaps", "gaps"), ("actions", "actions"), ("frames", "timeline")):
         out = out.join(s[table].groupBy("incident_key").agg(F.count(F.lit(1)).alias(name)), "incident_key", "left")
     return out
+
+
+# ---------------------------------------------------------------- smaller incidents, of which some are quiet
+
+
+def by_users(text: str) -> str:
+    """The telemetry's SQL with an incident for each twenty-ninth of the users and day, so that services are silent and days quiet."""
+    old, new = "CAST(CAST(ts AS DATE) AS STRING) AS incident_key", "CAST(CAST(ts AS DATE) AS STRING) || '-' || CAST(user_id % 29 AS STRING) AS incident_key"
+    if old not in text:
+        raise ValueError("no incident key to divide")
+    return text.replace(old, new)
+
+
+def divided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.run(spark, sf_dir, by_users(adapters.TELEMETRY_SQL))
+
+
+@query()
+def c5_silent_by_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = star(spark, sf_dir, divided(spark, sf_dir))
+    return report.silent_services(s["classified"], s["facts"], adapters.services(spark, sf_dir))
+
+
+@query()
+def k7_quiet_by_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classified, _, signal = upto_signals(spark, sf_dir, divided(spark, sf_dir))
+    return classified.select("incident_key").distinct().join(signals.origins(signal), "incident_key", "left_anti")
+
+
+ORACLES["c5_silent_by_users"] = by_users(ORACLES["c5_silent_services"])
+ORACLES["k7_quiet_by_users"] = by_users(ORACLES["k7_no_incident"])

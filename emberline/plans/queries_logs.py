@@ -74,6 +74,22 @@ def a17_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.intake(adapters.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Raw lines pasted together: those of a service in a stretch of 400 numbers, so that no text gathers more.
+PASTED_SQL = "SELECT service || '/' || CAST(CAST(floor(seq / 400) AS BIGINT) AS STRING) || '?' AS k, seq, value FROM raw_lines"
+S.STEPS["pasted"] = PASTED_SQL
+S.STEPS["taken"] = "SELECT e.*, p.n, rtrim(replace(replace(p.k, '/', '-'), '?', '-'), '-') AS name, p.k FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq) AS n, sum(length(value) + 1) OVER (PARTITION BY k) - 1 AS size FROM pasted) p JOIN expected_lines e ON e.seq = p.seq WHERE p.size <= 12000 AND p.n <= 30"
+
+
+@query("""SELECT name || '-log-' || lpad(CAST(n AS VARCHAR), 5, '0') AS id, name AS service, coalesce(last_value(at_ts IGNORE NULLS) OVER (PARTITION BY k ORDER BY n), TIMESTAMP '2020-01-01 00:00:00') AS ts,
+  message || CASE WHEN logger <> '' THEN ' [' || logger || ']' ELSE '' END AS detail, level FROM taken""")
+def a17_parsed_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of pasted log texts; names are made safe, and only the first lines of a text count."""
+    lines = adapters.sql(spark, PASTED_SQL, raw_lines=raw_lines(spark, sf_dir))
+    texts = lines.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    found = quality.parsed_intake(texts, "k", "text", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"), characters=12_000, rows=30)
+    return found.select("id", F.col("source").alias("service"), "ts", "detail", "level")
+
+
 # ---------------------------------------------------------------- quality
 
 #: Raw rows with faults: services that nothing declares, types that don't exist, times that can't be read.
@@ -227,3 +243,16 @@ def d10_manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.manifest_summary(steps, "conv_id", "steps", {"step_types": "step_type"}).withColumn("step_types", F.array_join("step_types", ","))
 
 
+SETS = {"providers": "provider", "models": "model", "modalities": "modality", "step_types": "step_type"}
+STEP_SQL = """SELECT conv_id, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN 'p' || CAST(conv_id % 3 AS STRING) WHEN 2 THEN 'p9' END AS provider, 'm' || CAST(turn % 3 AS STRING) AS model,
+  CASE WHEN length(text) % 2 = 0 THEN 'audio' WHEN turn % 2 = 0 THEN 'video' END AS modality, role AS step_type FROM conversations"""
+S.STEPS["manifest_steps"] = STEP_SQL
+
+
+@query("SELECT conv_id, count(*) AS step_count, " + ", ".join(f"coalesce(string_agg(DISTINCT {f}, ',' ORDER BY {f}) FILTER ({f} <> ''), '') AS {name}" for name, f in SETS.items()) + " FROM manifest_steps GROUP BY conv_id")
+def d10_manifest_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Providers, models, modalities and step types of each conversation's steps; some steps lack one or have an empty one."""
+    rows = adapters.sql(spark, STEP_SQL, conversations=adapters.table(spark, sf_dir, "conversations"))
+    steps = rows.groupBy("conv_id").agg(F.collect_list(F.struct(*SETS.values())).alias("steps"))
+    return catalog.manifest_summary(steps, "conv_id", "steps", SETS).withColumns({name: F.array_join(name, ",") for name in SETS})
+
