@@ -7,6 +7,7 @@ labelled rows (``PER_LANGUAGE`` rows expected for each language); every text is
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Mapping
 from itertools import combinations
 
@@ -79,6 +80,17 @@ def features(text: str) -> np.ndarray:
     return counts / max(1e-9, float(np.sqrt((counts * counts).sum())))
 
 
+def packed(f: np.ndarray) -> bytes:
+    """A text's features as few bytes: the places that have a value, and the values."""
+    return zlib.compress(np.flatnonzero(f).astype("<u2").tobytes() + f[f > 0].astype("<f4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u2", n).astype(np.int32), np.frombuffer(raw, "<f4", n, 2 * n)
+
+
 def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 12, strength: float = 1e-4, seed: int = 5) -> np.ndarray:
     """Weights (the last is the bias) of a linear support vector machine, by averaged stochastic subgradient steps.
 
@@ -173,14 +185,14 @@ def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(l, np.flatnonzero(f).astype(np.int32), f[f > 0]) for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t) for f in [features(t)]]
-            columns = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.float32()))], ["l", "at", "v"])
+            out = [(l, packed(features(t))) for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
+            columns = list(zip(*out)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary())], ["l", "f"])
 
-    sample = rows.where(hash_unit("i", "t") < share).select("t", "l").mapInArrow(run, "l string, at array<int>, v array<float>").limit(2 * per_language * len(counts) + 1000).toArrow()
+    sample = rows.where(hash_unit("i", "t") < share).select("t", "l").mapInArrow(run, "l string, f binary").limit(2 * per_language * len(counts) + 1000).toArrow()
     languages = sorted(set(sample["l"].to_pylist()))
     # in an order of their own, whatever the order in which tasks ended
-    found = sorted(((l.as_py(), at.values.to_numpy(), v.values.to_numpy()) for l, at, v in zip(sample["l"], sample["at"], sample["v"])), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    found = sorted(((l.as_py(), *unpacked(f.as_py())) for l, f in zip(sample["l"], sample["f"])), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     return Model(languages, [families.get(l, l) for l in languages], [(at, v.astype(float)) for _, at, v in found], np.array([languages.index(l) for l, _, _ in found], int))
 
 

@@ -112,9 +112,9 @@ def joined(rest: list[tuple[int, int, np.ndarray]], every: list[tuple[int, int,
 
 
 def touching(left: DataFrame, some: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(u, v): links that join the components of ``left`` (band, key, k, c), the texts of keys with several components; ``some`` (k, t) has each text once."""
+    """(u, v): the components of ``left`` (band, key, k, c), the texts of keys with several components, that links join; ``some`` (k, t) has each text once."""
     least = left.groupBy("band", "key").agg(F.min("k").alias("u"))
-    cluster = simhash.components(left.join(least, ["band", "key"]).where("k <> u").select("u", F.col("k").alias("v")), "shingle-clusters")
+    cluster = simhash.components(left.join(least, ["band", "key"]).where("k <> u").select("u", F.col("k").alias("v")), "shingle-clusters", hashed=True)
     member = materialise(left.select("k", "c").distinct().join(cluster, F.col("k") == F.col("node")).select(F.col("label").alias("g"), "k", "c"), "shingle-members")
     parts = member.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
     sizes = parts.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
@@ -127,13 +127,14 @@ def touching(left: DataFrame, some: DataFrame, similarity: float, words: int) ->
 
     def run(group: pa.Table) -> pa.Table:
         held: dict[int, np.ndarray] = {}
+        of = dict(zip(group["k"].to_pylist(), group["c"].to_pylist()))
         sides: tuple[list, list] = ([], [])
         for outside, k, c, t in zip(*(group[n].to_pylist() for n in ("outside", "k", "c")), group["t"]):
             if k not in held:
                 held[k] = shingles(t.as_py(), words)
             sides[not outside].append((k, c, held[k]))
         found = joined(*sides, similarity) if all(sides) else []
-        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+        return pa.table({"u": pa.array([of[u] for u, _ in found], pa.int64()), "v": pa.array([of[v] for _, v in found], pa.int64())})
 
     return every.unionByName(rest).groupBy("g", "a", "b").applyInArrow(run, "u long, v long")
 
@@ -156,12 +157,16 @@ def components(texts: DataFrame, known: DataFrame, similarity: float = 0.8, word
     some = materialise(maybe.join(shared.select("k").distinct().hint("merge"), "k", "left_semi").dropDuplicates(["k"]), "shingle-texts")
     pairs = materialise(shared.where("k <> least").select(F.col("least").alias("u"), F.col("k").alias("v")).distinct(), "shingle-pairs")
     links = materialise(checked(pairs, some, similarity, words), "shingle-links")
-    label = simhash.components(links.union(known), "shingle-first")
+    label = simhash.components(links.union(known), "shingle-first", hashed=True)
     held = shared.join(label, F.col("k") == F.col("node"), "left").select("band", "key", "k", F.coalesce("label", "k").alias("c"))
     open_ = held.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "key")
     left = materialise(held.join(open_, ["band", "key"]), "shingle-open")
     more = materialise(touching(left, some, similarity, words), "shingle-more")
-    return simhash.components(links.union(known).union(more), "shingle-all")
+    # the links left to take in are between components, so the first graph is not gone through again
+    over = simhash.components(more, "shingle-over", hashed=True).toDF("own", "over")
+    first = label.join(over, F.col("label") == F.col("own"), "left").select("node", F.coalesce("over", "label").alias("label"))
+    alone = over.join(label.select("node"), F.col("own") == F.col("node"), "left_anti")  # texts without a link till now
+    return materialise(first.union(alone), "shingle-all")
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

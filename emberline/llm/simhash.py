@@ -139,23 +139,23 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return paired.repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", hashed: bool = False) -> DataFrame:
     """(node, label): the least node that each node of ``edges`` (u, v) reaches.
 
     Each round a node goes over to that of its neighbours, or itself, whose hash is least, and edges are carried over
     to the nodes that are left, so that they shrink by a share each round and a star is gone in two. What each node
-    went over to is then followed down the rounds, one join a round.
+    went over to is then followed down the rounds, one join a round. Nodes that are hashes themselves (``hashed``) are
+    taken in their own order, in which a star around its least node is gone in one round.
     """
     left = edges.where("u <> v")
     both = materialise(left.select("u", "v").union(left.select("v", "u")).distinct(), f"{name}-edges")
     label = None
     while not both.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+        order = lambda c: F.struct((F.col(c) if hashed else F.xxhash64(c)).alias("h"), F.col(c).alias("to"))
         best = both.groupBy("u").agg(F.min(order("v")).alias("best"))
         step = materialise(best.select(F.col("u").alias("node"), F.least("best", order("u"))["to"].alias("to")), f"{name}-step")
         on = step.toDF("to", "next")
-        label = step if label is None else label.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        label = materialise(label, f"{name}-label")
+        label = step if label is None else materialise(label.join(on, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"{name}-label")
         moved = both.join(step.toDF("u", "a"), "u").join(step.toDF("v", "b"), "v").where("a <> b")
         both = materialise(moved.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-edges")
     if label is None:

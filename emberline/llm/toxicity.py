@@ -139,13 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [terms(t.as_py()).astype(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(got, pa.list_(pa.int64())), *batch.columns[2:]], ["k", "terms", *batch.schema.names[2:]])
+            got = [terms(t.as_py()).astype("<u4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(got, pa.binary()), *batch.columns[2:]], ["k", "terms", *batch.schema.names[2:]])
 
-    found = rows.mapInArrow(run, "k string, terms array<bigint>, " + ", ".join(f"c{n} int" for n in range(len(names)))).toArrow()
-    keys = found["k"].to_pylist()
-    order = sorted(range(len(keys)), key=lambda n: (keys[n], len(found["terms"][n])))
-    terms_of = [found["terms"][n].values.to_numpy().astype(np.uint32) for n in order]
+    found = rows.mapInArrow(run, "k string, terms binary, " + ", ".join(f"c{n} int" for n in range(len(names)))).toArrow()
+    keys, raw = found["k"].to_pylist(), found["terms"].to_pylist()
+    order = sorted(range(len(keys)), key=lambda n: (keys[n], len(raw[n])))
+    terms_of = [np.frombuffer(raw[n], "<u4") for n in order]
     marked = np.array([[np.nan if (v := found[f"c{c}"][n].as_py()) is None else v for c in range(len(names))] for n in order], float).reshape(len(order), len(names))
     return Chain(terms_of, marked, np.array([zlib.crc32(keys[n].encode()) % FOLDS for n in order], int))
 

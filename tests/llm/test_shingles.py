@@ -102,3 +102,62 @@ def test_components_of_paths_stars_and_rings(spark):
     got = simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()
     assert {r["node"]: r["label"] for r in got} == want and len(got) == len(want)
     assert simhash.components(spark.createDataFrame([(5, 5)], "u long, v long")).count() == 0
+
+
+def test_stage_makes_few_tables_on_the_driver(spark, monkeypatch):
+    """Each table made is a plan, its broadcasts and its files on the driver: links found first are not gone through again."""
+    from emberline.llm import shingles
+
+    made = []
+    for module in (shingles, simhash):
+        monkeypatch.setattr(module, "materialise", lambda df, name, f=module.materialise: made.append(name) or f(df, name))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{n}" for n in range(300)], k=80)) for _ in range(12)]
+    rows = [(n, f"{texts[n % 12]} end{n}") for n in range(48)]  # four near copies each
+    kept = shingles.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(12))
+    assert len(made) <= 20, made
+
+
+def test_over_links_join_components_and_lone_texts(spark, monkeypatch):
+    """Links found late, between components or texts without a link till then, end in the components of all links."""
+    from emberline.llm import shingles
+
+    rng = random.Random(6)
+    words = [f"w{n}" for n in range(500)]
+    rows = [(n, " ".join(rng.choices(words, k=60))) for n in range(9)]
+    key = {r["doc_id"]: r["k"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    link = lambda pairs: spark.createDataFrame([(key[a], key[b]) for a, b in pairs], "u long, v long")
+    first, late = [(0, 1), (1, 2), (3, 4)], [(2, 3), (5, 6), (7, 4)]
+    least = lambda n: min(key[x] for x in next((g for g in ((0, 1, 2), (3, 4)) if n in g), (n,)))
+    monkeypatch.setattr(shingles, "touching", lambda *_: spark.createDataFrame([(least(a), least(b)) for a, b in late], "u long, v long"))
+    texts = spark.createDataFrame([(key[n], t) for n, t in rows], "k long, t string")
+    got = {r["node"]: r["label"] for r in shingles.components(texts, link(first)).collect()}
+    one, two = min(key[n] for n in (0, 1, 2, 3, 4, 7)), min(key[5], key[6])
+    assert got == {**{key[n]: one for n in (0, 1, 2, 3, 4, 7)}, key[5]: two, key[6]: two}
+
+
+def test_samples_reach_the_driver_small(spark, monkeypatch):
+    """What is gathered for training on the driver: four bytes a term, and less than four a place of a text's features."""
+    from emberline.llm import langid, toxicity
+
+    sent, frame = [], type(spark.range(1))
+
+    def watched(self, f=frame.toArrow):
+        sent.append(f(self))
+        return sent[-1]
+
+    monkeypatch.setattr(frame, "toArrow", watched)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefghijklm", k=5)) for _ in range(300)) for _ in range(40)]
+    docs = spark.createDataFrame([(n, None if n == 7 else t, f"l{n % 2}") for n, t in enumerate(texts)], "doc_id long, text string, lang string")
+    langid.train(docs)
+    places = sum(np.count_nonzero(langid.features(t)) for n, t in enumerate(texts) if n != 7)
+    assert sent[0].num_rows == 39 and sent[0].nbytes < 4 * places
+    for t in texts:
+        f = langid.features(t)
+        at, v = langid.unpacked(langid.packed(f))
+        assert (at == np.flatnonzero(f)).all() and (v == f[f > 0]).all()
+    toxicity.train(docs, spark.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, toxic int"), {"toxic": F.col("toxic")})
+    terms = sum(len(toxicity.terms(t)) for n, t in enumerate(texts) if n != 7)
+    assert sent[1].num_rows == 40 and sent[1].nbytes < 4 * terms + 1600
