@@ -1,5 +1,6 @@
 """Facts of source files, failing modules and symbols, pipelines of services, on hand-made files."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,24 @@ def test_facts(fact):
     assert kinds == {"pkg.tools.helper": "function", "pkg.low.low": "class", "pkg.low.low.method": "async-method", "pkg.low.low.other": "method", "pkg.use.Make": "async-function"}
 
 
+def test_facts_come_in_bounded_batches():
+    """Many long files in one batch: no batch of facts holds more than ``BATCH`` and those of one file."""
+    text = "".join(f"f{n}()\n" for n in range(4000))
+    parts = [("s", f"m{f}", False, len(text) // 5000 - n, text[n * 5000 : (n + 1) * 5000]) for f in range(12) for n in range(len(text) // 5000 + 1)]
+    given = pa.RecordBatch.from_arrays(list(map(pa.array, zip(*parts))), names=["service", "module", "package", "after", "part"])
+    sizes = [b.num_rows for b in code.read_facts(iter([given]))]
+    assert sum(sizes) == 12 * 4001 and max(sizes) < code.BATCH + 4001
+
+
+def test_a_long_file_goes_in_parts(spark):
+    """Letters of two bytes and of a pair of halves at every place of a part's end."""
+    text = "x = 'é😀'\n" * 3000 + "def last():\n    pass\n"
+    rows = spark.createDataFrame([("s", "a.py", text), ("s", "b.py", None), ("s", "c.py", ""), ("s", "d.py", "y" * code.PART + "()")], "service string, path string, content string")
+    found = {(r["module"], r["kind"], r["target"], r["lineno"], r["loc"]) for r in code.facts(rows).collect()}
+    long = "y" * code.PART
+    assert found == {("a", "module", "a", 1, 3003), ("a", "function", "a.last", 3001, 2), ("b", "module", "b", 1, 1), ("c", "module", "c", 1, 1), ("d", "module", "d", 1, 1), ("d", "call", long, 1, 1)}
+
+
 def test_calls_and_reads(fact):
     calls = code.resolve(fact)
     found = {(r["caller"], r["target"], r["kind"]) for r in calls.collect()}
