@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts in which the traces of a service meet its modules, so that no service is one task.
+SPREAD = 16
+
 
 def marker(module: Column) -> Column:
     return F.concat(F.lit("["), module, F.lit("]"))
@@ -56,12 +59,29 @@ def overlay(path: DataFrame, modules: DataFrame, failing: DataFrame, key: list[s
     ``path`` has key..., service, pos, stage; ``modules`` has service, module, stage, ord; ``failing`` has key..., service,
     failing_stage, failing_module, which null gives way to the failing stage's first module. A path's stages are few.
     """
-    listed = path.join(modules.where("stage is not null"), ["service", "stage"])
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ord", "module"))), lambda x: x["module"])
-    walked = listed.groupBy(*key).agg(rows.alias("path_modules"))
-    first = modules.where("stage is not null").groupBy("service", F.col("stage").alias("failing_stage")).agg(F.min_by("module", "ord").alias("first"))
+    listed = modules.where("stage is not null")
+    first = listed.groupBy("service", F.col("stage").alias("failing_stage")).agg(F.min_by("module", "ord").alias("first"))
     known = modules.select("service", F.col("module").alias("named")).distinct()
     found = failing.join(first, ["service", "failing_stage"], "left").withColumn("named", F.coalesce("failing_module", "first"))
-    found = found.join(known.withColumn("known", F.lit(True)), ["service", "named"], "left")
-    out = found.join(walked, key, "left")
-    return out.select(*key, F.coalesce("path_modules", F.array().cast("array<string>")).alias("path_modules"), F.when(F.col("known"), F.col("named")).alias("failing_module"))
+    found = found.join(known.withColumn("known", F.lit(True)), ["service", "named"], "left").select(*key, F.when(F.col("known"), F.col("named")).alias("failing_module"))
+
+    # a trace stays its few stages until it is with its service's modules, and becomes modules last: no pair of both is shuffled
+    steps = F.array_sort(F.collect_list(F.struct("pos", "service", "stage")))
+    walks = path.where("service is not null and stage is not null").groupBy(*key).agg(steps.alias("steps")).withColumn("services", F.array_distinct("steps.service"))
+    # steps of one place are sorted together by their modules
+    place = lambda x: F.coalesce(F.array_position("steps.pos", x["pos"]), F.lit(0)).cast("long") * (1 << 32)
+    one = walks.where(F.size("services") == 1).select(*key, F.get("services", F.lit(0)).alias("service"), F.transform("steps", lambda x: F.struct(place(x).alias("at"), x["stage"].alias("stage"))).alias("walk"))
+    # traces through several services are few: their modules are gathered from the pairs
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ord", "module"))), lambda x: x["module"])
+    several = walks.where(F.size("services") > 1).select(*key, F.inline("steps")).join(listed, ["service", "stage"]).groupBy(*key).agg(rows.alias("gathered"))
+
+    ranked = listed.where("service is not null").withColumn("n", F.row_number().over(Window.partitionBy("service").orderBy("ord", "module")) - 1)
+    names = ranked.groupBy("service").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "module"))), lambda x: x["module"]).alias("names"))
+    places = ranked.groupBy("service", "stage").agg(F.collect_list(F.col("n").cast("long")).alias("ns")).groupBy("service").agg(F.map_from_entries(F.collect_list(F.struct("stage", "ns"))).alias("places"))
+    atlas = names.join(places, "service").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+
+    out = found.join(one, key, "left").join(several, key, "left").withColumn("part", F.pmod(F.xxhash64(*key), F.lit(SPREAD)).cast("int")).join(atlas, ["service", "part"], "left")
+    none = F.array().cast("array<bigint>")
+    met = F.flatten(F.transform("walk", lambda x: F.transform(F.coalesce(F.try_element_at("places", x["stage"]), none), lambda n: x["at"] + n)))
+    walked = F.transform(F.sort_array(met), lambda v: F.get("names", v.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")))
+    return out.select(*key, F.coalesce("gathered", walked, F.array().cast("array<string>")).alias("path_modules"), "failing_module")

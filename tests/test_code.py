@@ -75,6 +75,38 @@ def test_failing_symbol(spark):
     assert {r["k"]: r["name"] for r in code.failing_symbol(df, "k").collect()} == {"a": "build_it", "b": "re_open", "c": "__call__"}
 
 
+def test_overlay(spark):
+    """Steps of one place by their modules' order, stages without modules, traces of several services and of none."""
+    graph_of = [("a", "m1", "x", 5), ("a", "m2", "x", 1), ("a", "m3", "y", 3), ("a", "m3", "x", 3), ("a", "lone", None, 0), ("b", "m9", "x", 2)]
+    modules = spark.createDataFrame(graph_of, "service string, module string, stage string, ord int")
+    steps = [(1, "a", 1, "x"), (1, "a", 1, "y"), (1, "a", 2, "y"), (1, "a", 0, "none"), (2, "a", 2, "x"), (2, "b", 1, "x"), (3, "c", 1, "x"), (4, "a", 1, "x"), (4, "a", 1, "x"), (4, "a", None, "y")]
+    path = spark.createDataFrame(steps, "k int, service string, pos int, stage string")
+    failing = spark.createDataFrame([(1, "a", "x", None), (2, "a", "y", "lone"), (3, "c", "x", None), (4, "a", "x", "gone"), (5, "b", "x", None)], "k int, service string, failing_stage string, failing_module string")
+    found = evidence.overlay(path, modules, failing, ["k"])
+    assert {r["k"]: (r["path_modules"], r["failing_module"]) for r in found.collect()} == {
+        1: (["m2", "m3", "m3", "m1", "m3"], "m2"), 2: (["m9", "m2", "m3", "m1"], "lone"), 3: ([], None),
+        4: (["m3", "m2", "m2", "m3", "m3", "m1", "m1"], None), 5: ([], "m9"),
+    }
+
+
+def test_overlay_shuffles_no_pairs(spark):
+    """Every trace passes a stage of many modules; what is shuffled grows with the traces, not with their modules."""
+    modules = spark.range(2000).selectExpr("'a' AS service", "'module' || id AS module", "'x' AS stage", "id AS ord")
+    path = spark.range(400).selectExpr("id AS k", "'a' AS service", "id AS pos", "'x' AS stage")
+    failing = path.selectExpr("k", "service", "stage AS failing_stage", "CAST(NULL AS STRING) AS failing_module")
+    sc = spark.sparkContext
+    sc.setJobGroup("overlay", "overlay")
+    try:
+        assert evidence.overlay(path, modules, failing, ["k"]).select(F.sum(F.size("path_modules"))).first()[0] == 400 * 2000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("overlay")]
+    stages_of = {s for j in jobs for s in j.stageIds}
+    written = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages_of)
+    assert 0 < written < 1_000_000
+
+
 def test_evidence(spark):
     modules = spark.createDataFrame([(1, "app.a"), (1, "app"), (1, "app.c"), (2, "app.a"), (3, "x")], "k int, module string")
     told = spark.createDataFrame([(1, " app.a ", "boom"), (1, "app.a.deep", None), (1, None, "seen [app.c]"), (3, None, None)], "k int, logger string, detail string")
