@@ -120,6 +120,16 @@ def test_evidence(spark):
     assert of(evidence.confirmed(fine, told, ["k"], "ok"))[(1, "app.c")] is False and not any(of(evidence.confirmed(fine, told, ["k"], "failed")).values())
 
 
+def test_a_pipelines_tables_are_made_once(spark):
+    """The plan of the edges doesn't hold the plans of all tables before it several times over."""
+    rows = [("shop", "app.py", "g.add_edge('a', 'b')\ng.add_edge('b', 'c')\n")]
+    files = spark.createDataFrame(rows, "service string, path string, content string")
+    found, edges, _ = stages.pipelines(code.facts(files), files.select("service", "path", code.module_name(F.col("path")).alias("module")))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") + plan.count("Window ") < 20
+    assert [(r["ord"], r["src"], r["dst"]) for r in edges.orderBy("ord").collect()] == [(0, "a", "b"), (1, "b", "c")] and found.count() == 3
+
+
 def test_pipeline(spark):
     app = """
 class RateLimitMiddleware: pass
